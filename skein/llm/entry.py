@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .langid import op6_language_id
+from .media import op1_flac_media
+from .mixing import op5_pfair_mixing
+from .packing import op4_best_fit_packing
 from .quality import op3_quality_classifier
 
 QUERIES = {
+    "op1_flac_media": op1_flac_media,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_pfair_mixing": op5_pfair_mixing,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
 }
