@@ -76,7 +76,7 @@ def _confirm(k: int, percent: int):
     def confirm(key, members, centres):
         a = []
         if members.num_rows and centres.num_rows:
-            hubs = shingle_sets([t or b"" for t in centres.column("text").cast(pa.binary()).to_pylist()], k)
+            hubs = shingle_sets([t or b"" for t in centres.column("hub_text").cast(pa.binary()).to_pylist()], k)
             texts = [t or b"" for t in members.column("text").cast(pa.binary()).to_pylist()]
             ids = members.column("a").to_pylist()
             for g in _pieces(texts):
@@ -92,8 +92,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("long").alias("salts"))
     members = pairs.join(size, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     members = members.join(texts.withColumnRenamed("id", "a"), "a").select("b", "salt", "a", "text")
-    centres = size.join(texts.withColumnRenamed("id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "text")
-    return staged(members.groupBy("b", "salt").cogroup(centres.groupBy("b", "salt")).applyInArrow(_confirm(k, percent), "a long, b long"), "near-links")
+    hubs = size.select(F.col("b").alias("hub"), "salts").join(texts.select(F.col("id").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("hub_salt"), "hub_text")
+    return staged(members.groupBy("b", "salt").cogroup(hubs.groupBy("hub", "hub_salt")).applyInArrow(_confirm(k, percent), "a long, b long"), "near-links")
 
 
 def _across(percent: int, bins: int, most: int | None):
