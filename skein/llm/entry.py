@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .langid import op6_language_id
+from .lm import op2_gru_language_model
 from .media import op1_flac_media
 from .mixing import op5_pfair_mixing
 from .near_dedup import op8_minhash_near_dedup
@@ -14,6 +15,7 @@ from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_flac_media": op1_flac_media,
+    "op2_gru_language_model": op2_gru_language_model,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_pfair_mixing": op5_pfair_mixing,
