@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import struct
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,35 +19,33 @@ from ..plans.sdl import Field, Schema
 from .catalog import Catalog
 
 FORMAT = "skein-logical/1"
+_NAN = {4: "7fc00000", 8: "7ff8000000000000"}
 
 
 def _bits(width: int):
-    import pandas as pd
-
     code, size = (">f", ">I") if width == 4 else (">d", ">Q")
 
     @F.pandas_udf(T.StringType())
     def bits(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else format(struct.unpack(size, struct.pack(code, x))[0], f"0{2 * width}x"), na_action="ignore")
+        return pd.Series([None if x is None else format(struct.unpack(size, struct.pack(code, x))[0], f"0{2 * width}x") for x in v], dtype=object)
 
     return bits
 
 
 def _from_bits(width: int):
-    import pandas as pd
-
     code, size = (">f", ">I") if width == 4 else (">d", ">Q")
 
     @F.pandas_udf(T.FloatType() if width == 4 else T.DoubleType())
     def value(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: struct.unpack(code, struct.pack(size, int(x, 16)))[0], na_action="ignore")
+        return pd.Series([None if x is None else struct.unpack(code, struct.pack(size, int(x, 16)))[0] for x in v], dtype=object)
 
     return value
 
 
 def _encode(scalar: str, c: Column) -> Column:
     if scalar in ("f32", "f64"):
-        return _bits(4 if scalar == "f32" else 8)(c)
+        width = 4 if scalar == "f32" else 8  # nulls and NaN look alike in a batch, so they are told apart here
+        return F.when(c.isNull(), None).when(F.isnan(c), F.lit(_NAN[width])).otherwise(_bits(width)(c))
     if scalar == "Bytes":
         return F.base64(c)
     if scalar == "DateTime":
@@ -56,7 +55,8 @@ def _encode(scalar: str, c: Column) -> Column:
 
 def _decode(scalar: str, c: Column) -> Column:
     if scalar in ("f32", "f64"):
-        return _from_bits(4 if scalar == "f32" else 8)(c)
+        width = 4 if scalar == "f32" else 8
+        return F.when(c == _NAN[width], F.lit(float("nan"))).otherwise(_from_bits(width)(c))
     if scalar == "Bytes":
         return F.unbase64(c)
     if scalar == "DateTime":
