@@ -6,10 +6,10 @@
 3. Each distinct pair is confirmed on the full shingle sets, made again from the whole texts; a centre with
    many members is salted over tasks.
 4. Stars alone could miss a link between two members that both differ from the centre. So after joining
-   confirmed pairs into components, buckets that still hold several components are looked at again: there
-   members of different components are compared by their signatures, in tiles of bounded size, and pairs
-   that can reach the threshold (5 standard deviations of allowance) are confirmed exactly as well - first
-   the likeliest partners of each member, then, as long as components in a bucket stay apart, all of them.
+   confirmed pairs into components, buckets that still hold several components are looked at again: their
+   members meet with their full sets, in tiles of bounded size, and the exact overlaps of members of
+   different components are counted there as products of sparse rows. No pair leaves a tile but links that
+   join two components: fewer than members.
 
 A pair at similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**6)**42 > 0.999997.
 
@@ -20,8 +20,6 @@ gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +34,6 @@ BANDS, ROWS = 42, 6
 PIECE = 1 << 20
 #: Members that a task compares at once, and members of a centre in one task.
 TILE, STAR = 1024, 256
-#: Partners of each member that are confirmed first among those of other components.
-FIRST_PARTNERS = 8
 
 
 def _pieces(texts: list[bytes]):
@@ -62,9 +58,9 @@ def _sketch(k: int, bands: int, rows: int):
                 yield pa.record_batch(
                     [
                         ids[g], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([None if s is None else oph.band_keys(s) for s in signatures], pa.list_(pa.int64())), pa.array([None if s is None else oph.short(s) for s in signatures], pa.binary()),
+                        pa.array([None if s is None else oph.band_keys(s) for s in signatures], pa.list_(pa.int64())),
                     ],
-                    ["id", "n", "digest", "bands", "short"],
+                    ["id", "n", "digest", "bands"],
                 )
 
     return sketch
@@ -97,57 +93,102 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return staged(members.groupBy("b", "salt").cogroup(hubs.groupBy("hub", "hub_salt")).applyInArrow(_confirm(k, percent), "a long, b long"), "near-links")
 
 
-def _across(percent: int, bins: int, most: int | None):
-    """Pairs of one tile whose labels differ and whose signatures allow the threshold; ``most`` best of each member."""
-    level = percent / 100
-    least = level - 5 * math.sqrt(level * (1 - level) / bins)
-
-    def across(key, table):
-        side = np.array(table.column("side").to_pylist())
-        ids, labels, n = (np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "label", "n"))
-        short = np.frombuffer(b"".join(table.column("short").to_pylist()), np.uint8).reshape(len(ids), bins)
-        rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a tile with itself
-        out_a, out_b = [], []
-        for i in rows:
-            js = columns[(labels[columns] != labels[i]) & ((ids[columns] > ids[i]) | (side[i] != 2))]
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            if not len(js):
-                continue
-            share = (short[js] == short[i]).mean(1)
-            js, share = js[share >= least], share[share >= least]
-            if most is not None and len(js) > most:
-                js = js[np.argsort(-share, kind="stable")[:most]]
-            out_a += [int(ids[i])] * len(js)
-            out_b += ids[js].tolist()
-        low, high = np.minimum(out_a, out_b), np.maximum(out_a, out_b)
-        return pa.table({"a": pa.array(high.astype(np.int64) if len(out_a) else [], pa.int64()), "b": pa.array(low.astype(np.int64) if len(out_a) else [], pa.int64())})
-
-    return across
-
-
-def _open_pairs(buckets: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int, bins: int, most: int | None) -> DataFrame:
-    """Pairs across components that share a bucket."""
+def _sets(k: int):
+    def make(batches):
+        for batch in batches:
+            ids, texts = batch.column("id"), [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            for g in _pieces(texts):
+                yield pa.record_batch([ids[g], pa.array([s.tobytes() for s in shingle_sets(texts[g], k)], pa.binary())], ["id", "set"])
+
+    return make
+
+
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all row sets with all column sets."""
+    every = np.concatenate([*rows, *columns]) if rows or columns else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(rows) + len(columns)), [len(s) for s in (*rows, *columns)])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1 if len(every) else np.zeros(0, bool)  # what one set has alone adds nothing
+    owner, number = owner[shared], number[shared]
+    number = np.cumsum(np.concatenate([[True], number[1:] != number[:-1]])) - 1 if len(number) else number
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    width = 2048
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        lo, hi = np.searchsorted(number, [at, at + width])
+        part = np.zeros((len(rows) + len(columns), width), np.float32)
+        part[owner[lo:hi], number[lo:hi] - at] = 1
+        out += part[: len(rows)] @ part[len(rows) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def _tile_links(percent: int):
+    """Links that join different components in one tile of a bucket."""
+
+    def link(key, table):
+        side = table.column("side").to_numpy()
+        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        parent = {v: v for v in set(labels.tolist())}
+
+        def find(v):
+            while parent[v] != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        a, b = [], []
+        if len(parent) > 1:
+            names, inverse, counts = np.unique(labels, return_inverse=True, return_counts=True)
+            main = inverse == counts.argmax()
+            left, right = side != 1, side != 0  # side 2: a tile with itself
+            for rows, columns in ((left & ~main, right), (left & main, right & ~main)):
+                rows, columns = np.flatnonzero(rows), np.flatnonzero(columns)
+                for at in range(0, len(rows), 256):
+                    r = rows[at : at + 256]
+                    if not len(columns):
+                        continue
+                    common = overlaps([sets[i] for i in r], [sets[j] for j in columns])
+                    close = (100 * common >= percent * (sizes[r][:, None] + sizes[columns] - common)) & (common > 0) & (labels[r][:, None] != labels[columns])
+                    for x, y in np.argwhere(close):
+                        i, j = r[x], columns[y]
+                        p, q = find(labels[i].item()), find(labels[j].item())
+                        if p != q:
+                            parent[max(p, q)] = min(p, q)
+                            a.append(max(ids[i], ids[j]))
+                            b.append(min(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return link
+
+
+def across_components(buckets: DataFrame, texts: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links between components that share a bucket; ``buckets``: (key, id)."""
     labelled = buckets.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labelled = staged(labelled, "near-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", F.ceil(F.col("size") / TILE).cast("long").alias("tiles"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).where("lo != hi")
+    # Bands whose buckets hold the same members ask the same question once.
+    mixed = mixed.groupBy("who", "lo", "hi", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("long").alias("tiles"))
     members = labelled.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     members = staged(members, "near-open")
     if members.isEmpty():
         return None
+    sets = staged(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(k), "id long, set binary"), "near-sets")
     spread = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     spread = spread.select("key", "id", "label", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"))
-    spread = spread.join(sketches.select("id", "n", "short"), "id")
-    return spread.groupBy("key", "t0", "t1").applyInArrow(_across(percent, bins, most), "a long, b long")
+    return spread.join(sets, "id").groupBy("key", "t0", "t1").applyInArrow(_tile_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, kept``."""
     texts = text_rows(docs, id_col, text_col)
-    sketches = staged(texts.mapInArrow(_sketch(k, bands, rows), "id long, n long, digest binary, bands array<long>, short binary"), "near-sketch")
+    sketches = staged(texts.mapInArrow(_sketch(k, bands, rows), "id long, n long, digest binary, bands array<long>"), "near-sketch")
     alive = sketches.where("id is not null and digest is not null")
     classes = staged(alive.groupBy("digest").agg(F.min("id").alias("id")), "near-classes")
     ours = alive.join(classes, ["digest", "id"]).dropDuplicates(["id", "digest"])
-    ours = staged(ours.select("id", "n", "short", "bands"), "near-reps")
+    ours = staged(ours.select("id", "n", "bands"), "near-reps")
     keyed = ours.select("id", "n", F.explode("bands").alias("key"))
     stars = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.count("*").alias("size")).where("size > 1")
     stars = staged(stars.select("key", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n")), "near-stars")
@@ -157,17 +198,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = texts.where("id is not null").select("id", "text")
     links = confirmed(pairs, read, k, percent)
     labels = connected_components(links)
-    for most in (FIRST_PARTNERS, None):
-        more = _open_pairs(buckets.select("key", "id"), ours, labels, percent, bands * rows, most)
-        if more is None:
-            break
-        more = staged(more.distinct(), "near-more")
-        if more.isEmpty():
-            break
-        found = confirmed(more, read, k, percent)
-        if not found.isEmpty():
-            links = staged(links.unionByName(found), "near-links")
-            labels = connected_components(links)
+    more = across_components(buckets.select("key", "id"), read, labels, k, percent)
+    if more is not None:
+        labels = connected_components(links.unionByName(more))
     named = classes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     named = staged(named, "near-named")
     out = sketches.select("id", "n", "digest").join(named, "digest", "left")

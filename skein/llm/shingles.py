@@ -112,7 +112,3 @@ class OnePermutation:
 
     def band_keys(self, signature: np.ndarray) -> np.ndarray:
         return mix((signature.reshape(self.bands, self.rows) * self.weight).sum(1, dtype=np.uint64) + self.band_salt).view(np.int64)
-
-    def short(self, signature: np.ndarray) -> bytes:
-        """One byte of each bin, for estimates."""
-        return mix(signature).astype(np.uint8).tobytes()
