@@ -52,3 +52,13 @@ def crc_mod(column: str, n: int):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Ids up to which a set of them is sent to every task (8 MB of longs); counted first. Larger sets are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``df`` with (``left_semi``) or without (``left_anti``) the rows whose id is in ``ids``, a written table of one column."""
+    column = ids.columns[0]
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how).select(*df.columns)

@@ -33,6 +33,10 @@ BUCKETS, PIECE_ROWS = 256, 500_000
 POWER = 0.5
 
 
+def piece_count(rows: int) -> int:
+    return max(BUCKETS, math.ceil(rows / PIECE_ROWS))
+
+
 def target_shares(counts: DataFrame, weight: Column, shares: int) -> DataFrame:
     """``source_key, n, share``: weights as whole shares that add up to ``shares``, by largest remainders.
 
@@ -85,7 +89,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     seq = F.col(seq_col) if seq_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), seq.alias("seq"))
     rows = staged(rows.withColumn("source_key", key).withColumn("h", F.xxhash64("id")), "mix")
-    buckets = max(BUCKETS, math.ceil(rows.count() / PIECE_ROWS))
+    buckets = piece_count(rows.count())
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     # A hot source is numbered in pieces: counts per (source, bucket) first, then rows within a bucket.
     per = staged(rows.groupBy("source_key", "bucket").agg(F.count("*").alias("c")), "mix-counts")
@@ -125,7 +129,17 @@ def op5_pfair_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of the mix - up to the slot where a source runs dry - with the columns of ``docs``."""
-    numbered = staged(docs.withColumn("_skein_row", F.monotonically_increasing_id()), "mix-in")
-    kept = mix(numbered, seq_col="_skein_row").where("in_mix").select(F.col("seq").alias("_skein_row"))
-    return numbered.join(kept, "_skein_row", "left_semi").select(*docs.columns)
+    """Pipeline stage: the rows of the mix - up to the slot where a source runs dry - with the columns of ``docs``.
+
+    A source's rows come in the order of (piece, hash, id), so what is in the mix ends at one row of each
+    source. Those last rows, as many as there are sources, filter the table where it lies; rows that share
+    the id of a last row stay with it.
+    """
+    found = mix(docs)
+    buckets = piece_count(docs.count())
+    place = lambda c: F.struct(F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket"), F.xxhash64(c).alias("h"), F.coalesce(c, F.lit(-(2**63))).alias("id"))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    last = found.where("in_mix").groupBy(key(F.col("source")).alias("_skein_source")).agg(F.max(place(F.col("id"))).alias("_skein_last"))
+    last = staged(last, "mix-last")
+    marked = docs.withColumn("_skein_source", key(F.col("source"))).withColumn("_skein_place", place(F.col("doc_id").cast("long")))
+    return marked.join(last, "_skein_source").where("_skein_place <= _skein_last").select(*docs.columns)
