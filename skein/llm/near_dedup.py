@@ -6,10 +6,13 @@
 3. Each distinct pair is confirmed on the full shingle sets, made again from the whole texts; a centre with
    many members is salted over tasks.
 4. Stars alone could miss a link between two members that both differ from the centre. So after joining
-   confirmed pairs into components, buckets that still hold several components are looked at again: their
-   members meet with their full sets, in tiles of bounded size, and the exact overlaps of members of
-   different components are counted there as products of sparse rows. No pair leaves a tile but links that
-   join two components: fewer than members.
+   confirmed pairs into components, buckets that, without their settled centres, still hold several components
+   get ``STARS`` further centres, the least id of the largest component there.
+5. What is then still open meets with its full sets, in tiles of bounded size - buckets with the same least
+   member as one, for bands repeat each other -, and the exact overlaps of
+   members of different components are counted there as products of sparse rows. The largest component of a
+   bucket is not compared with itself, so its tiles meet only those of the others. No pair leaves a tile but
+   links that join two components: fewer than members.
 
 A pair at similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**6)**42 > 0.999997.
 
@@ -34,6 +37,8 @@ BANDS, ROWS = 42, 6
 PIECE = 1 << 20
 #: Members that a task compares at once, and members of a centre in one task.
 TILE, STAR = 1024, 256
+#: Further stars of the buckets that hold several components, before their members meet in tiles.
+STARS = 2
 
 
 def _pieces(texts: list[bytes]):
@@ -164,21 +169,66 @@ def _tile_links(percent: int):
     return link
 
 
+def open_buckets(members: DataFrame) -> DataFrame:
+    """``key, centre, centre_n, main``: buckets whose ``members`` (key, id, n, label) are of several components.
+
+    ``main`` is the component with the most members, ``centre`` its least id.
+    """
+    per = members.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    per = per.groupBy("key").agg(F.count("*").alias("components"), F.max(F.struct("c", (-F.col("label")).alias("label"), "id")).alias("top")).where("components > 1")
+    main = per.select("key", (-F.col("top.label")).alias("main"), F.col("top.id").alias("centre"))
+    size = members.select("key", F.col("id").alias("centre"), F.col("n").alias("centre_n"))
+    return main.join(size, ["key", "centre"])
+
+
+def more_stars(buckets: DataFrame, texts: DataFrame, labels: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """What is left to compare in each bucket, and links found by further stars; ``buckets``: (key, id, n) without the first centres.
+
+    All pairs with a centre are settled, so a centre leaves its bucket; a bucket whose members that are left
+    belong to one component is settled whole.
+    """
+    left = staged(buckets.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id")), "near-left")
+    links = None
+    for _ in range(STARS):
+        left = staged(left.join(open_buckets(left), "key"), "near-open")
+        fits = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+        found = confirmed(left.where((F.col("label") != F.col("main")) & fits).select(F.col("id").alias("a"), F.col("centre").alias("b")), texts, k, percent)
+        links = found if links is None else links.unionByName(found)
+        left = left.where("id != centre").select("key", "id", "n", "label")
+    return left.select("key", "id"), links
+
+
 def across_components(buckets: DataFrame, texts: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Links between components that share a bucket; ``buckets``: (key, id)."""
+    """Links between components that share a bucket; ``buckets``: (key, id).
+
+    Open buckets with the same least member are mostly one group seen by several bands. They are compared as
+    one, so a set is sent once and not once for each band; what they hold all shares a bucket with that member.
+    """
     labelled = buckets.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labelled = staged(labelled, "near-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).where("lo != hi")
+    leads = labelled.groupBy("key").agg(F.min("id").alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key", "lead")
+    labelled = staged(labelled.join(leads, "key").select(F.col("lead").alias("key"), "id", "label").distinct(), "near-merged")
+    per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("who"))
+    mixed = per.groupBy("key").agg(F.count("*").alias("components"), F.sum("c").alias("size"), F.bit_xor("who").alias("who"), F.max(F.struct("c", (-F.col("label")).alias("label"))).alias("top")).where("components > 1")
     # Bands whose buckets hold the same members ask the same question once.
-    mixed = mixed.groupBy("who", "lo", "hi", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("long").alias("tiles"))
-    members = labelled.join(mixed, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    members = staged(members, "near-open")
+    mixed = mixed.groupBy("who", "size", "top").agg(F.min("key").alias("key"))
+    tiles = lambda n: F.ceil(n / TILE).cast("long")
+    mixed = mixed.select("key", (-F.col("top.label")).alias("main"), tiles(F.col("top.c")).alias("main_tiles"), tiles(F.col("size") - F.col("top.c")).alias("other_tiles"))
+    members = staged(labelled.join(mixed, "key"), "near-tiled")
     if members.isEmpty():
         return None
     sets = staged(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(k), "id long, set binary"), "near-sets")
-    spread = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    spread = spread.select("key", "id", "label", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"))
-    return spread.join(sets, "id").groupBy("key", "t0", "t1").applyInArrow(_tile_links(percent), "a long, b long")
+    # The main component is not compared with itself: its tiles meet those of the others, and these each other.
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("label") == F.col("main"), F.col("main_tiles")).otherwise(F.col("other_tiles")))
+    cell = lambda kind, t0, t1, side: F.struct(F.lit(kind).alias("kind"), t0.alias("t0"), t1.alias("t1"), side.alias("side"))
+    of_main = F.transform(upto("other_tiles"), lambda j: cell(0, F.col("tile"), j, F.lit(0)))
+    of_other = F.concat(
+        F.transform(upto("main_tiles"), lambda i: cell(0, i, F.col("tile"), F.lit(1))),
+        F.transform(upto("other_tiles"), lambda j: cell(1, F.least("tile", j), F.greatest("tile", j), F.when(F.col("tile") == j, 2).when(F.col("tile") < j, 0).otherwise(1))),
+    )
+    spread = members.withColumn("tile", own).select("key", "id", "label", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(of_other)).alias("cell")).select("key", "id", "label", "cell.*")
+    return spread.join(sets, "id").groupBy("key", "kind", "t0", "t1").applyInArrow(_tile_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -198,7 +248,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = texts.where("id is not null").select("id", "text")
     links = confirmed(pairs, read, k, percent)
     labels = connected_components(links)
-    more = across_components(buckets.select("key", "id"), read, labels, k, percent)
+    left, more = more_stars(buckets.where("id != centre").select("key", "id", "n"), read, labels, k, percent)
+    if more is not None:
+        links = links.unionByName(more)
+        labels = connected_components(links)
+    more = across_components(left, read, labels, k, percent)
     if more is not None:
         labels = connected_components(links.unionByName(more))
     named = classes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
