@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_rows
+from .common import by_ids, staged, text_rows
 from .components import connected_components
 from .shingles import OnePermutation, set_digest, shingle_sets, similar
 
@@ -90,6 +90,8 @@ def _confirm(k: int, percent: int):
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets are similar; ``texts``: (id, text). b is the side that repeats."""
     pairs = staged(pairs.distinct(), "near-pairs")
+    # Of the texts, only those in question are moved.
+    texts = by_ids(texts, staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-asked"))
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("long").alias("salts"))
     members = pairs.join(size, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     members = members.join(texts.withColumnRenamed("id", "a"), "a").select("b", "salt", "a", "text")
@@ -217,7 +219,7 @@ def across_components(buckets: DataFrame, texts: DataFrame, labels: DataFrame, k
     members = staged(labelled.join(mixed, "key"), "near-tiled")
     if members.isEmpty():
         return None
-    sets = staged(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(k), "id long, set binary"), "near-sets")
+    sets = staged(by_ids(texts, staged(members.select("id").distinct(), "near-asked")).mapInArrow(_sets(k), "id long, set binary"), "near-sets")
     # The main component is not compared with itself: its tiles meet those of the others, and these each other.
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     own = F.pmod(F.xxhash64("id"), F.when(F.col("label") == F.col("main"), F.col("main_tiles")).otherwise(F.col("other_tiles")))
@@ -240,9 +242,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ours = alive.join(classes, ["digest", "id"]).dropDuplicates(["id", "digest"])
     ours = staged(ours.select("id", "n", "bands"), "near-reps")
     keyed = ours.select("id", "n", F.explode("bands").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.count("*").alias("size")).where("size > 1")
-    stars = staged(stars.select("key", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n")), "near-stars")
-    buckets = staged(keyed.join(stars, "key").select("key", "id", "n", "centre", "centre_n"), "near-buckets")
+    stars = staged(keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre != last").select("key", "centre"), "near-stars")
+    buckets = keyed.join(stars, "key").select("key", "id", "n", "centre")
+    sizes = ours.select(F.col("id").alias("centre"), F.col("n").alias("centre_n"))
+    buckets = staged(buckets.join(by_ids(sizes, staged(stars.select("centre").distinct(), "near-centres")), "centre").select("key", "id", "n", "centre", "centre_n"), "near-buckets")
     fits = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
     pairs = buckets.where((F.col("id") != F.col("centre")) & fits).select(F.col("id").alias("a"), F.col("centre").alias("b"))
     read = texts.where("id is not null").select("id", "text")
