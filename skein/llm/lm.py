@@ -22,8 +22,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gru
@@ -38,6 +39,20 @@ _TOKENS = "block long, id long, held boolean, ids binary, local int, word binary
 _PARTS = "chunk int, part int, weight double, total binary"
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Numbers below 2**32 as planes of bytes, compressed; planes of zeros at the end are left out."""
+    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    used = 1 + max([0, *(k for k in range(4) if planes[k].any())])
+    return used.to_bytes(1, "big") + zstd.compress(np.ascontiguousarray(planes[:used]).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstd.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<i4").ravel()
+
+
 def _tokenise():
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
     names = ["block", "id", "held", "ids", "local", "word", "c", "cls"]
@@ -54,7 +69,7 @@ def _tokenise():
             counts = np.zeros(len(vocab), np.int64)
             for _, held, ids in rows:
                 if not held:
-                    counts += np.bincount(np.frombuffer(ids, np.int32), minlength=len(vocab))
+                    counts += np.bincount(unpacked(ids), minlength=len(vocab))
             n = len(rows)
             yield pa.record_batch([pa.array([block] * n, types[0]), pa.array([r[0] for r in rows], types[1]), pa.array([r[1] for r in rows], types[2]), pa.array([r[2] for r in rows], types[3]), *(pa.nulls(n, t) for t in types[4:])], names)
             words = list(vocab)
@@ -73,7 +88,7 @@ def _tokenise():
                 words = text.lower().split()  # of bytes: A-Z alone are lowered, ASCII white space alone parts words
                 known = [vocab.setdefault(w, len(vocab)) for w in words]
                 known.append(0)
-                rows.append((i, held, np.array(known, np.int32).tobytes()))
+                rows.append((i, held, packed(np.array(known, np.int32))))
                 size += len(text)
                 if size >= BLOCK_BYTES:
                     yield from flush()
@@ -102,7 +117,7 @@ class CorpusCounts:
 
 def _block(tokens, codes):
     """Of one block: documents' ids and held flags, their lengths, all local numbers, and code and count per local word."""
-    ids = [np.frombuffer(x, np.int32) for x in tokens.column("ids").to_pylist()]
+    ids = [unpacked(x) for x in tokens.column("ids").to_pylist()]
     lengths = np.array([len(x) for x in ids], np.int64)
     local = codes.column("local").to_numpy()
     code, c = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
@@ -174,18 +189,20 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     made = staged(rows.mapInArrow(_tokenise(), _TOKENS), "lm-tokens")
     tokens = made.where("ids is not null").select("block", "id", "held", "ids")
     vocab = made.where("word is not null").select("block", "local", "word", "c", "cls")
-    counts = staged(vocab.groupBy("word").agg(F.sum("c").alias("c"), F.max("cls").alias("cls")), "lm-counts")
+    # A block names a word once, so of all rows a word has no more than one for each block: one exchange by word serves.
+    of_word = Window.partitionBy("word")
+    first_block = F.row_number().over(of_word.orderBy("block", "local")) == 1
+    every = staged(vocab.select("block", "local", "word", "cls", F.sum("c").over(of_word).alias("n"), first_block.alias("lead")), "lm-words")
+    counts = every.where("lead").select("word", F.col("n").alias("c"), "cls")
     total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # The head: a fixed number of words.
     head = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END_WORD))).orderBy(F.col("c").desc(), "word").limit(gru.HEAD - 1).select("word", "c").collect()
     end = counts.where(F.col("word") == F.lit(END_WORD)).select("c").first()
     head_words = [(END_WORD, end.c if end else 0), *((bytes(r.word), r.c) for r in head)]
     heads = spark.createDataFrame([(bytearray(w), i) for i, (w, _) in enumerate(head_words)], "word binary, head int")
-    coded = counts.join(F.broadcast(heads), "word", "left")
-    tail = coded.where("head is null and c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()
+    tail = counts.join(F.broadcast(heads), "word", "left_anti").where("c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()
     corpus = CorpusCounts(int(total[0]), int(total[1]), head_words, [(r.cls, r.c, r.types) for r in tail])
-    coded = coded.select("word", F.col("c").alias("n"), F.coalesce("head", F.col("cls") + gru.HEAD).alias("code"))
-    codes = staged(vocab.select("block", "local", "word").join(coded, "word").select("block", "local", "code", F.col("n").alias("c")), "lm-codes")
+    codes = every.join(F.broadcast(heads), "word", "left").select("block", "local", F.coalesce("head", F.col("cls") + gru.HEAD).alias("code"), F.col("n").alias("c"))
 
     def grouped(condition=None):
         t, v = (tokens, codes) if condition is None else (tokens.where(condition), codes.where(condition))
