@@ -121,7 +121,9 @@ def _block(tokens, codes):
     lengths = np.array([len(x) for x in ids], np.int64)
     local = codes.column("local").to_numpy()
     code, c = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
-    code[local], c[local] = codes.column("code").to_numpy(), codes.column("c").to_numpy()
+    code[local] = codes.column("code").to_numpy()
+    if "c" in codes.column_names:  # training does without
+        c[local] = codes.column("c").to_numpy()
     held = np.array(tokens.column("held").to_pylist(), bool)
     return tokens.column("id"), held, lengths, np.concatenate(ids) if ids else np.zeros(0, np.int32), code, c
 
@@ -204,19 +206,19 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     corpus = CorpusCounts(int(total[0]), int(total[1]), head_words, [(r.cls, r.c, r.types) for r in tail])
     codes = every.join(F.broadcast(heads), "word", "left").select("block", "local", F.coalesce("head", F.col("cls") + gru.HEAD).alias("code"), F.col("n").alias("c"))
 
-    def grouped(condition=None):
+    def grouped(*more: str, condition=None):
         t, v = (tokens, codes) if condition is None else (tokens.where(condition), codes.where(condition))
-        return t.groupBy("block").cogroup(v.select(F.col("block").alias("vblock"), "local", "code", "c").groupBy("vblock"))
+        return t.groupBy("block").cogroup(v.select(F.col("block").alias("vblock"), "local", "code", *more).groupBy("vblock"))
 
     weights = gru.initial(corpus.head_counts, corpus.tail_total)
     first = tokens.where("not held").agg(F.min("block")).first()[0]
     if first is not None:
         start = spark.sparkContext.broadcast(weights)
-        seeded = grouped(F.col("block") == first).applyInArrow(_train(start, SEED_RATE, seed_passes, 1), _PARTS)
+        seeded = grouped(condition=F.col("block") == first).applyInArrow(_train(start, SEED_RATE, seed_passes, 1), _PARTS)
         weights = _average(seeded, weights)
         start = spark.sparkContext.broadcast(weights)
         weights = _average(grouped().applyInArrow(_train(start, RATE, 1, gru.GRADIENT_EVERY), _PARTS), weights)
-    found = grouped().applyInArrow(
+    found = grouped("c").applyInArrow(
         _score(spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(corpus)),
         "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
