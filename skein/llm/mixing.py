@@ -1,14 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
-Each source's rows are cut into blocks. Target weights are whole shares of ``SHARES``; block i of a source
-with share w is released at slot floor(i * SHARES / w) and due by slot ceil((i + 1) * SHARES / w). Earliest
-deadline first among the released blocks (ties: the source with the later next deadline waits, then name)
-then keeps each source less than one block off its target at every slot. The schedule repeats after SHARES
-slots, so one period is folded over ``sequence(0, SHARES - 1)`` from the shares alone: its size is fixed and
-no block is ever brought into one task. A row finds its slot from its block number and the period's table.
-
-A schedule meets its targets until a source runs dry; ``in_mix`` marks the rows before the first slot that
-would need a block which is not there. Nothing is dropped by the operator: later rows have their slots, too.
+Each source's rows are cut into blocks. With weights w, B / w is the (virtual) time at which a source of B
+blocks runs dry; the sources still going share all slots in proportion to their weights, so what a source
+has no more blocks for goes to the others. The times are cut into frames of about ``FRAME_SLOTS`` slots, also
+wherever a source runs dry. By time v a source has had floor(v * w + a fraction of its own) blocks, so a
+frame has a whole number of blocks of each source, all blocks fall into a frame, and weights are not rounded.
+In a frame of L slots, block i of a source with m blocks is released at slot floor(i * L / m) and due by slot
+ceil((i + 1) * L / m). Earliest deadline first among the released blocks (ties: the source with the later next
+deadline waits, then name) then keeps each source less than one block off its part of the frame at every
+slot, and at the frames' ends it is less than one block off its weight times v: less than two at any slot,
+however long the table is. (The slot itself can be off v times the sum of the weights by as many as there are sources.)
+Frames are folded each by itself, from its counts alone, and no task gets more than single frames.
+
+A schedule meets its targets until a source runs dry; ``in_mix`` marks the rows before that. Nothing is
+dropped: later rows have slots in the frames of the sources that go on.
 
 Defined results: a null source is a source of its own; a source without a target (weight null or 0) gets
 no slots, in_mix false; repeated ids are separate rows; order within a source is by hash of the id, then
@@ -22,10 +27,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import shuffle_partitions, staged
 
-#: Slots of a period, and whole shares that the weights are rounded to; raised to four for each source if there are many.
-SHARES = 1000
+#: Slots of a frame, nearly; raised to four for each source if there are many.
+FRAME_SLOTS = 1000
 BLOCK_ROWS = 8
 #: A source is numbered in this many pieces by a hash of the id, more where pieces of the table would pass PIECE_ROWS.
 BUCKETS, PIECE_ROWS = 256, 500_000
@@ -37,45 +42,57 @@ def piece_count(rows: int) -> int:
     return max(BUCKETS, math.ceil(rows / PIECE_ROWS))
 
 
-def target_shares(counts: DataFrame, weight: Column, shares: int) -> DataFrame:
-    """``source_key, n, share``: weights as whole shares that add up to ``shares``, by largest remainders.
-
-    A source with a weight gets one share at least; if that is too much in all, the largest gives them.
-    """
-    everything = Window.partitionBy(F.lit(0))  # one row for each source
-    w = counts.withColumn("w", F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)))
-    w = w.withColumn("exact", F.when(F.sum("w").over(everything) > 0, F.col("w") / F.sum("w").over(everything) * shares).otherwise(0.0))
-    w = w.withColumn("low", F.when(F.col("w") > 0, F.greatest(F.lit(1), F.floor("exact"))).otherwise(0))
-    w = w.withColumn("left", F.when(F.max("w").over(everything) > 0, shares - F.sum("low").over(everything)).otherwise(0))
-    w = w.withColumn("r", F.row_number().over(everything.orderBy((F.col("w") > 0).desc(), (F.col("exact") - F.col("low")).desc(), "source_key")))
-    w = w.withColumn("largest", F.row_number().over(everything.orderBy(F.col("low").desc(), "source_key")) == 1)
-    more = F.when((F.col("left") > 0) & (F.col("r") <= F.col("left")), 1).when((F.col("left") < 0) & F.col("largest"), F.col("left")).otherwise(0)
-    return w.select("source_key", "n", (F.col("low") + more).cast("long").alias("share"))
-
-
-def period(table: DataFrame, shares: int) -> DataFrame:
-    """``slot, source_key, turn_block``: one period of the schedule, folded over its slots."""
-    packed = table.where("share > 0").agg(F.sort_array(F.collect_list(F.struct("source_key", "share"))).alias("s"))
+def dry_times(counts: DataFrame, weight: Column, block_rows: int) -> DataFrame:
+    """``source_key, w, blocks, at, part``: when each source with a weight runs dry, and the fraction it is rounded with."""
+    everything = Window.partitionBy(F.lit(0)).orderBy("source_key")  # one row for each source
+    w = counts.withColumn("w", F.coalesce(weight.cast("double"), F.lit(0.0))).where("w > 0")
+    w = w.withColumn("blocks", F.ceil(F.col("n") / block_rows)).withColumn("at", F.col("blocks") / F.col("w"))
+    part = (F.row_number().over(everything) - 0.5) / F.count("*").over(Window.partitionBy(F.lit(0)))
+    return w.select("source_key", "w", "blocks", "at", part.alias("part"))
+
+
+def frame_counts(times: DataFrame, frame_slots: int) -> DataFrame:
+    """``frame, phase, start, slots, s``: frames in turn, and of each source with blocks in it (key, first block, blocks)."""
+    by_time = Window.partitionBy(F.lit(0)).orderBy("at")  # one row for each time at which a source runs dry
+    ends = times.groupBy("at").agg(F.sum("w").alias("w"))
+    rest = F.sum("w").over(by_time.rowsBetween(0, Window.unboundedFollowing))
+    ends = ends.select((F.row_number().over(by_time) - 1).alias("phase"), F.coalesce(F.lag("at").over(by_time), F.lit(0.0)).alias("since"), "at", rest.alias("rest"))
+    ends = ends.withColumn("pieces", F.greatest(F.lit(1), F.ceil((F.col("at") - F.col("since")) * F.col("rest") / frame_slots)).cast("long"))
+    ends = ends.withColumn("base", F.sum("pieces").over(by_time) - F.col("pieces"))
+    cut = ends.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("i"))
+    end = lambda i: F.when(i == F.col("pieces"), F.col("at")).otherwise(F.col("since") + (F.col("at") - F.col("since")) * i / F.col("pieces"))
+    cut = cut.select((F.col("base") + F.col("i")).alias("frame"), "phase", end(F.col("i")).alias("v0"), end(F.col("i") + 1).alias("v1"))
+    had = lambda v: F.when(F.col(v) >= F.col("at"), F.col("blocks")).otherwise(F.least("blocks", F.floor(F.col(v) * F.col("w") + F.col("part"))))
+    each = cut.crossJoin(F.broadcast(times)).select("frame", "phase", "source_key", had("v0").alias("first"), had("v1").alias("next"))
+    packed = F.sort_array(F.collect_list(F.when(F.col("next") > F.col("first"), F.struct("source_key", "first", (F.col("next") - F.col("first")).alias("share")))))
+    frames = each.groupBy("frame", "phase").agg(F.sum("first").alias("start"), (F.sum("next") - F.sum("first")).alias("slots"), packed.alias("s"))
+    return frames.where("slots > 0")
+
+
+def frame_slots_of(frames: DataFrame) -> DataFrame:
+    """``source_key, block, slot, release, deadline, phase``: the schedule, each frame folded over its slots."""
     # Deadline of a source's next block, and of the one after it; a number past all deadlines before the release.
-    due = f"""
+    due = """
       transform(s, (x, i) -> IF(
-        (acc.done[i] * {shares}L) DIV x.share <= t,
-        named_struct('d', ((acc.done[i] + 1) * {shares}L + x.share - 1) DIV x.share, 'e', ((acc.done[i] + 2) * {shares}L + x.share - 1) DIV x.share, 'i', i),
+        acc.done[i] < x.share AND (acc.done[i] * slots) DIV x.share <= t,
+        named_struct('d', ((acc.done[i] + 1) * slots + x.share - 1) DIV x.share, 'e', ((acc.done[i] + 2) * slots + x.share - 1) DIV x.share, 'i', i),
         named_struct('d', 9223372036854775807L, 'e', 0L, 'i', i)))
     """
     picks = f"""
       aggregate(
-        sequence(0L, {shares - 1}L),
-        named_struct('done', transform(s, x -> 0L), 'picks', cast(array() AS array<int>)),
+        sequence(0L, slots - 1L),
+        named_struct('done', transform(s, x -> 0L), 'picks', cast(array() AS array<struct<i: int, turn: bigint>>)),
         (acc, t) -> aggregate(
           array(array_min({due}).i),
           acc,
-          (a, pick) -> named_struct('done', transform(a.done, (d, i) -> d + IF(i = pick, 1L, 0L)), 'picks', concat(a.picks, array(pick)))),
+          (a, pick) -> named_struct('done', transform(a.done, (d, i) -> d + IF(i = pick, 1L, 0L)), 'picks', concat(a.picks, array(named_struct('i', pick, 'turn', a.done[pick]))))),
         acc -> acc.picks)
     """
-    slots = packed.where("size(s) > 0").select("s", F.expr(picks).alias("picks")).select("s", F.posexplode("picks").alias("slot", "pick"))
-    slots = slots.select(F.col("slot").cast("long").alias("slot"), F.expr("s[pick].source_key").alias("source_key"))
-    return slots.withColumn("turn_block", F.row_number().over(Window.partitionBy("source_key").orderBy("slot")).cast("long") - 1)
+    placed = frames.select("phase", "start", "slots", "s", F.posexplode(F.expr(picks)).alias("t", "pick")).select("phase", "start", "slots", "t", F.col("pick.turn").alias("turn"), F.expr("s[pick.i]").alias("x"))
+    return placed.select(
+        F.col("x.source_key").alias("source_key"), (F.col("x.first") + F.col("turn")).alias("block"), (F.col("start") + F.col("t")).alias("slot"),
+        F.expr("start + (turn * slots) DIV x.share").alias("release"), F.expr("start + ((turn + 1) * slots + x.share - 1) DIV x.share").alias("deadline"), "phase",
+    )
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, seq_col: str | None = None) -> DataFrame:
@@ -97,30 +114,19 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     before = per.select("source_key", "bucket", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
     counts = per.groupBy("source_key").agg(F.sum("c").alias("n"))
     sources = counts.count()
-    shares = max(SHARES, 4 * sources)
     if weights is None:
-        table = target_shares(counts, F.pow(F.col("n"), F.lit(POWER)), shares)
+        times = dry_times(counts, F.pow(F.col("n"), F.lit(POWER)), block_rows)
     else:
         given = weights.select(F.col(weights.columns[0]).alias("source"), F.col(weights.columns[1]).cast("double").alias("weight")).withColumn("source_key", key)
-        table = target_shares(counts.join(given.groupBy("source_key").agg(F.sum("weight").alias("weight")), "source_key", "left"), F.col("weight"), shares)
-    table = staged(table, "mix-shares")
-    slots = staged(period(table, shares), "mix-period")
-    # The first slot that needs a block which is not there: of each source, the block after its last one.
-    missing = table.where("share > 0").withColumn("blocks", F.ceil(F.col("n") / block_rows))
-    missing = missing.select("source_key", F.floor(F.col("blocks") / F.col("share")).alias("turn"), (F.col("blocks") % F.col("share")).alias("turn_block"))
-    horizon = missing.join(slots, ["source_key", "turn_block"]).agg(F.min(F.col("turn") * shares + F.col("slot"))).first()[0] or 0
+        times = dry_times(counts.join(given.groupBy("source_key").agg(F.sum("weight").alias("weight")), "source_key", "left"), F.col("weight"), block_rows)
+    times = staged(times, "mix-times")
+    # Few rows, each with a fold of its own: dealt over a fixed number of tasks, which are not put together again.
+    frames = staged(frame_counts(times, max(FRAME_SLOTS, 4 * sources)), "mix-frames")
+    slots = staged(frame_slots_of(frames.repartition(shuffle_partitions(docs.sparkSession), "frame")), "mix-slots")
     numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("source_key", "bucket").orderBy("h", "id", "seq")))
     numbered = numbered.join(before, ["source_key", "bucket"]).withColumn("row_in_source", (F.col("before") + F.col("k") - 1).cast("long"))
     numbered = numbered.withColumn("block", F.floor(F.col("row_in_source") / block_rows).cast("long"))
-    # Shares have a row for each source, the period one for each slot: both bounded by ``shares``.
-    placed = numbered.join(F.broadcast(table.select("source_key", "share")), "source_key")
-    placed = placed.withColumn("turn_block", F.when(F.col("share") > 0, F.col("block") % F.col("share"))).join(F.broadcast(slots), ["source_key", "turn_block"], "left")
-    due = F.when(F.col("share") > 0, F.ceil((F.col("block") + 1) * shares / F.col("share"))).cast("long")
-    out = placed.withColumn("slot", F.when(F.col("share") > 0, F.floor(F.col("block") / F.col("share")) * shares + F.col("slot")).cast("long"))
-    return out.select(
-        "id", "source", "seq", "row_in_source", "block", "slot", F.when(F.col("share") > 0, F.floor(F.col("block") * shares / F.col("share"))).cast("long").alias("release"), due.alias("deadline"),
-        F.coalesce(F.col("slot") < horizon, F.lit(False)).alias("in_mix"),
-    )
+    return numbered.join(slots, ["source_key", "block"], "left").select("id", "source", "seq", "row_in_source", "block", "slot", "release", "deadline", F.coalesce(F.col("phase") == 0, F.lit(False)).alias("in_mix"))
 
 
 def op5_pfair_mixing(spark, sf_dir: str) -> DataFrame:

@@ -195,6 +195,30 @@ def test_mix_numbers_every_row_once(spark, tables):
         assert sorted(r.row_in_source for r in found if r.source == s) == list(range(sum(r.source == s for r in found)))
 
 
+def test_rare_sources_take_no_slots_from_a_common_one(spark):
+    """20 common sources and 80 of one row: with whole shares of 1000 the first common one had less than none."""
+    common, rare = 200, 1
+    docs = spark.createDataFrame([(i, f"c{k:02}") for k in range(20) for i in range(common)] + [(0, f"r{k:02}") for k in range(80)], "doc_id long, source string")
+    weights = spark.createDataFrame([(f"c{k:02}", 1000.0) for k in range(20)] + [(f"r{k:02}", 1.0) for k in range(80)], "source string, weight double")
+    found = mixing.mix(docs, weights, block_rows=1).collect()
+    assert sorted(r.slot for r in found) == list(range(20 * common + 80 * rare))  # every block its own slot, and no slot empty
+    assert all(r.release <= r.slot < r.deadline for r in found)
+    half = Counter(r.source for r in found if r.slot < 10 * common)
+    assert max(half[f"c{k:02}"] for k in range(20)) - min(half[f"c{k:02}"] for k in range(20)) <= 2
+
+
+def test_targets_hold_however_long_the_table(spark):
+    """Weights that are no whole shares of 1000: the deviation must not grow with the slots."""
+    weights = {"a": 1.0, "b": 0.4504, "c": 0.0006}
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id < 6200 THEN 'a' WHEN id < 8990 THEN 'b' ELSE 'c' END").alias("source"))
+    found = mixing.mix(docs, spark.createDataFrame(list(weights.items()), "source string, weight double"), block_rows=1).where("in_mix").select("slot", "source").orderBy("slot").collect()
+    total, done = sum(weights.values()), Counter()
+    assert [r.slot for r in found] == list(range(len(found))) and len(found) > 8000
+    for r in found:
+        done[r.source] += 1
+        assert all(abs(done[s] - (r.slot + 1) * w / total) < 3 for s, w in weights.items())
+
+
 # 6. Language
 
 
