@@ -135,17 +135,15 @@ def op5_pfair_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of the mix - up to the slot where a source runs dry - with the columns of ``docs``.
+    """Pipeline stage: all rows of ``docs``, laid out in the order of the mix, with the columns of ``docs``.
 
-    A source's rows come in the order of (piece, hash, id), so what is in the mix ends at one row of each
-    source. Those last rows, as many as there are sources, filter the table where it lies; rows that share
-    the id of a last row stay with it.
+    The schedule goes on when a source runs dry, so no row is left out. Rows of a source with the same id
+    follow one another anyway, but for a block's end; they are laid out with the first of them.
     """
-    found = mix(docs)
-    buckets = piece_count(docs.count())
-    place = lambda c: F.struct(F.pmod(F.xxhash64(c), F.lit(buckets)).alias("bucket"), F.xxhash64(c).alias("h"), F.coalesce(c, F.lit(-(2**63))).alias("id"))
-    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
-    last = found.where("in_mix").groupBy(key(F.col("source")).alias("_skein_source")).agg(F.max(place(F.col("id"))).alias("_skein_last"))
-    last = staged(last, "mix-last")
-    marked = docs.withColumn("_skein_source", key(F.col("source"))).withColumn("_skein_place", place(F.col("doc_id").cast("long")))
-    return marked.join(last, "_skein_source").where("_skein_place <= _skein_last").select(*docs.columns)
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+    at = F.min(F.struct("slot", "row_in_source")).alias("_skein_at")
+    order = mix(docs).groupBy(key.alias("_skein_source"), F.coalesce(F.col("id"), F.lit(-(2**63))).alias("_skein_id")).agg(at)
+    marked = docs.withColumn("_skein_source", key).withColumn("_skein_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    # Left: a row can never be lost here. Slots belong to one source each, so the ranges are even.
+    found = marked.join(staged(order, "mix-order"), ["_skein_source", "_skein_id"], "left")
+    return found.repartitionByRange(shuffle_partitions(spark), "_skein_at").sortWithinPartitions("_skein_at").select(*docs.columns)

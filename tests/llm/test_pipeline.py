@@ -34,3 +34,14 @@ def test_run(spark, request, folder):
     found = corpus_pipeline.run(spark, request.getfixturevalue(folder))
     assert {"doc_id", "bin", "capacity"} <= set(found.columns)
     assert (found.count() > 0) == (folder == "tables")
+
+
+def test_mixing_keeps_every_row_in_the_order_of_the_mix(spark):
+    """A source of one row runs dry at once; the rows of the others stay, and null ids and repeated ids do."""
+    docs = [(i, f"text {i}", "web") for i in range(3000)] + [(5000 + i, f"book {i}", "book") for i in range(300)] + [(9000, "rare", None), (None, "x", "web"), (None, "y", "web"), (7, "again", "web")]
+    docs = staged(spark.createDataFrame(docs, "doc_id long, text string, source string"), "test-mixing")
+    found = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "").collect()
+    assert sorted(r.text for r in found) == sorted(r.text for r in docs.collect())
+    first = [r.source for r in found[:400]]
+    assert 60 < first.count("book") < 140  # by the roots of the counts: a quarter, not the eleventh of the table
+    assert {r.source for r in found[-1000:]} == {"web"}  # the others have run dry
