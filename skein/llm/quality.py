@@ -7,7 +7,9 @@ closer to; a logistic calibration fitted on labelled rows that the dictionaries
 into the probability of label 1.
 
 The labelled sample is bounded (``SAMPLE_ROWS`` of each label, chosen by a hash of the id, each text up
-to ``SAMPLE_CHARS``): it fits a dictionary of fixed size. Scoring reads every row and whole texts.
+to ``SAMPLE_CHARS``): it fits a dictionary of fixed size. All labels of documents that are there are counted, and
+the calibration weighs the sample's rows to their ratio, so a score means the same at any size of the table.
+Scoring reads every row and whole texts.
 
 Defined results: null and empty texts get the score of the calibrated intercept at zero difference,
 as do all texts if no label of either kind is there; rows with a null id are scored, never learned from.
@@ -75,13 +77,13 @@ def _expand(z: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(z)), z, z[:, :3] ** 2, z[:, 0] * z[:, 2], z[:, 0] * z[:, 3]])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         reg = np.full(len(w), ridge)
         reg[0] = 1e-6
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(reg), x.T @ (y - p) - reg * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(reg), x.T @ (weight * (y - p)) - reg * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -102,6 +104,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     blank = CompressionModel(b"", b"", np.zeros(10), np.zeros(4), np.ones(4))
     if {y for _, y, _ in texts} != {0, 1}:
         return blank
+    there = known.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
+    labelled = {r.y: r.n for r in there.groupBy("y").agg(F.count("*").alias("n")).collect()}  # of all labels, not of the sample
     half = [n % 2 for n in range(len(texts))]
     folds = []
     for side in (0, 1):  # dictionaries from one half, calibration on the other, and the other way round
@@ -110,7 +114,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         folds.append((model, [(model.features(t, tools), y) for (_, y, t), h in zip(texts, half, strict=True) if h != side]))
     x, y = (np.array(v, float) for v in zip(*folds[0][1], strict=True))
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    return CompressionModel(folds[0][0].good, folds[0][0].bad, _logistic(_expand((x - mean) / scale), y), mean, scale)
+    weight = np.where(y == 1, labelled[1] / max(1, (y == 1).sum()), labelled[0] / max(1, (y == 0).sum()))
+    weight *= len(y) / weight.sum()
+    return CompressionModel(folds[0][0].good, folds[0][0].bad, _logistic(_expand((x - mean) / scale), y, weight), mean, scale)
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from conftest import PAGES, rows
 from pyspark.sql import functions as F
 
-from skein.llm import flac, gru, lm, media, mixing, near_dedup, packing, privacy, warc
+from skein.llm import flac, gru, lm, media, mixing, near_dedup, packing, privacy, quality, warc
 from skein.llm.entry import QUERIES
 from skein.llm.exact_dedup import dedup_exact
 from skein.llm.shingles import OnePermutation
@@ -142,6 +142,16 @@ def test_quality_on_held_out_labels(spark):
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in found)
 
 
+def test_scores_keep_the_ratio_of_all_labels_past_the_bound(spark, monkeypatch):
+    """Texts that tell nothing, 9 of 10 labelled good: past the sample's bound the scores were those of 1 of 2."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 500, 80))) for i in range(800)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(800)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 80)
+    scores = [r.score for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()]
+    assert abs(np.mean(scores) - 0.9) < 0.1
+
+
 # 4. Packing
 
 
