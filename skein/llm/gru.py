@@ -20,8 +20,6 @@ HIDDEN = 16
 WINDOW, LANES = 16, 256
 END = 0
 DISCOUNT = 0.75
-#: The state runs through every window of the training texts; a gradient step is taken on one of so many in turn.
-GRADIENT_EVERY = 4
 
 #: Codes: 0 .. HEAD - 1 are head words (0 the end), HEAD + k is a word of tail class k.
 _SHAPES = {"emb": (HEAD + TAIL, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (HEAD_CLASSES, HIDDEN, CLASS_WORDS), "bw": (HEAD_CLASSES, CLASS_WORDS)}
@@ -202,12 +200,8 @@ class Adam:
         flat -= rate / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v / (1 - 0.995**self.t)) + 1e-8)
 
 
-def train(flat: np.ndarray, codes: np.ndarray, lengths: np.ndarray, rate: float, passes: int = 1, every: int = 1, phase: int = 0) -> np.ndarray:
-    """The weights after ``passes`` over all documents, in windows of WINDOW tokens with carried states.
-
-    A gradient step is taken on each window whose number is ``phase`` modulo ``every``; the others only
-    carry the state on.
-    """
+def train(flat: np.ndarray, codes: np.ndarray, lengths: np.ndarray, rate: float, passes: int = 1) -> np.ndarray:
+    """The weights after ``passes`` over all documents, in windows of WINDOW tokens with carried states: a gradient step on each."""
     flat = flat.copy()
     if not len(lengths):
         return flat
@@ -222,9 +216,6 @@ def train(flat: np.ndarray, codes: np.ndarray, lengths: np.ndarray, rate: float,
         for places, valid in streams.windows(WINDOW):
             m = places.shape[1]
             done += 1
-            if (done + phase) % every:
-                _, h = _recur(p, streams.x[places], streams.first[places], h[:m], None)
-                continue
             g[:] = 0
             _, h = window_gradient(p, grads, streams.x[places], streams.y[places], streams.first[places], valid, h[:m])
             adam.step(flat, g, rate * (1 - 0.9 * done / total) * min(1.0, valid.sum() / (0.25 * WINDOW * lanes)))

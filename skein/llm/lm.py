@@ -134,16 +134,15 @@ def _weights_out(flat: np.ndarray, part: int, weight: float):
     return pa.table({"chunk": pa.array(range(n), pa.int32()), "part": pa.array([part] * n, pa.int32()), "weight": pa.array([weight] * n, pa.float64()), "total": pa.array([x.tobytes() for x in pieces], pa.binary())})
 
 
-def _train(held_weights, rate: float, passes: int, every: int):
+def _train(held_weights, rate: float, passes: int):
     def train(key, tokens, codes):
-        block = key[0].as_py()
         flat = held_weights.value
         if not tokens.num_rows:
             return _weights_out(flat, 0, 0.0)
         _, held, lengths, ids, code, _ = _block(tokens, codes)
         use = np.repeat(~held, lengths)
-        flat = gru.train(flat, code[ids[use]], lengths[~held], rate, passes, every, phase=block % every)
-        return _weights_out(flat, block % 64, float(use.sum()))
+        flat = gru.train(flat, code[ids[use]], lengths[~held], rate, passes)
+        return _weights_out(flat, key[0].as_py() % 64, float(use.sum()))
 
     return train
 
@@ -214,10 +213,10 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     first = tokens.where("not held").agg(F.min("block")).first()[0]
     if first is not None:
         start = spark.sparkContext.broadcast(weights)
-        seeded = grouped(condition=F.col("block") == first).applyInArrow(_train(start, SEED_RATE, seed_passes, 1), _PARTS)
+        seeded = grouped(condition=F.col("block") == first).applyInArrow(_train(start, SEED_RATE, seed_passes), _PARTS)
         weights = _average(seeded, weights)
         start = spark.sparkContext.broadcast(weights)
-        weights = _average(grouped().applyInArrow(_train(start, RATE, 1, gru.GRADIENT_EVERY), _PARTS), weights)
+        weights = _average(grouped().applyInArrow(_train(start, RATE, 1), _PARTS), weights)
     found = grouped("c").applyInArrow(
         _score(spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(corpus)),
         "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

@@ -7,8 +7,10 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import PAGES, rows
 from pyspark.sql import functions as F
@@ -107,6 +109,19 @@ def test_states_run_through_whole_documents():
     assert np.allclose(together, alone, atol=1e-4)
 
 
+def test_every_training_token_gives_a_gradient(monkeypatch):
+    """Also in the pass over all blocks, where three windows of four only carried the state on."""
+    rng = np.random.default_rng(2)
+    texts = [np.concatenate([rng.integers(1, 50, n), [0]]).astype(np.int32) for n in (300, 120, 77, 1)]
+    tokens = pa.table({"id": [0, 1, 2, 3], "held": [False, True, False, False], "ids": [lm.packed(t) for t in texts]})
+    codes = pa.table({"local": list(range(50)), "code": list(range(50))})
+    seen, real = [], gru.window_gradient
+    monkeypatch.setattr(gru, "window_gradient", lambda p, g, x, y, first, valid, h: seen.append(int(valid.sum())) or real(p, g, x, y, first, valid, h))
+    start = SimpleNamespace(value=gru.initial(np.ones(gru.HEAD), np.ones(gru.TAIL)))
+    lm._train(start, lm.RATE, 1)((pa.scalar(3),), tokens, codes)
+    assert sum(seen) == sum(len(t) for t, held in zip(texts, (0, 1, 0, 0), strict=True) if not held)
+
+
 def test_packed_ids():
     for x in ([0], [1, 255, 256, 70_000, 2**24], []):
         assert lm.unpacked(lm.packed(np.array(x, np.int32))).tolist() == x
