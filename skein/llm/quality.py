@@ -1,122 +1,138 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built, one from texts labelled good and one from texts labelled bad.
-A text is compressed three times: with either dictionary and with none. The difference of the two sizes,
-normalised by the text's length and by the size without a dictionary, tells which side the text is
-closer to; a logistic calibration fitted on labelled rows that the dictionaries have not seen turns it
-into the probability of label 1.
-
-The labelled sample is bounded (``SAMPLE_ROWS`` of each label, chosen by a hash of the id, each text up
-to ``SAMPLE_CHARS``): it fits a dictionary of fixed size. All labels of documents that are there are counted, and
-the calibration weighs the sample's rows to their ratio, so a score means the same at any size of the table.
-Scoring reads every row and whole texts.
-
-Defined results: null and empty texts get the score of the calibrated intercept at zero difference,
-as do all texts if no label of either kind is there; rows with a null id are scored, never learned from.
+zstandard dictionaries are built from texts labelled good and from texts labelled bad. A text is compressed with
+either; the difference of the two sizes over the text's length tells which side it is closer to, and nothing
+else about the text takes part in the score. The labelled sample is cut into two folds: each has its pair of
+dictionaries, and a logistic calibration of that pair's difference fitted on the other fold, which the
+dictionaries have not seen. The score is the logistic function of the mean of the two calibrated log odds.
+
+The labelled sample is bounded (``SAMPLE_ROWS`` of each label, chosen by a hash of the id, whole texts): it fits
+dictionaries of fixed size, in one task, so no text reaches the driver. All labels of documents that are there are
+counted, and the calibration weighs the sample's rows to their ratio, so a score means the same at any size of
+the table. Scoring reads every row and whole texts.
+
+Defined results: null and empty texts get the score of a difference of zero; all texts get 0.5 if no fold can be
+calibrated because a label is missing there; of documents with the same id the least text is learned from; rows
+with a null id are scored, never learned from.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_rows
+from .common import crc_mod, staged, text_rows
 
-#: Bound of the labelled sample: rows of each label, and characters of each text that train (scoring reads all).
+#: Bound of the labelled sample: rows of each label (their whole texts train; scoring reads all rows).
 SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 20_000
 DICT_BYTES = 112_640
+#: Texts are given to the dictionary trainer in pieces of this many bytes.
+TRAIN_PIECE = 1024
 LEVEL = 3
+FOLDS = (0, 1)
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    total = sum(map(len, texts))
+def train_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
+    pieces = [t[at : at + TRAIN_PIECE] for t in texts for at in range(0, len(t), TRAIN_PIECE)]
+    total = sum(map(len, pieces))
     if total < 1024:
-        return b"".join(texts)
+        return b"".join(pieces)
     try:
-        return zstd.train_dictionary(max(256, min(size, total // 8)), texts).as_bytes()
+        return zstd.train_dictionary(max(256, min(size, total // 8)), pieces).as_bytes()
     except zstd.ZstdError:  # too few or too uniform samples for the trainer: their plain content serves
-        return b"".join(texts)[-size:]
+        return b"".join(pieces)[-size:]
+
+
+def _compressor(dictionary: bytes) -> zstd.ZstdCompressor:
+    if len(dictionary) < 8:
+        return zstd.ZstdCompressor(level=LEVEL, write_content_size=False)
+    made = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_AUTO)
+    made.precompute_compress(level=LEVEL)
+    return zstd.ZstdCompressor(dict_data=made, write_content_size=False)
 
 
 class CompressionModel:
-    """The two dictionaries and the calibration; small and of fixed size, it travels in the closure."""
+    """Of each fold the two dictionaries and the calibration; small and of fixed size, it travels in a broadcast."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray):
-        self.good, self.bad, self.weights, self.mean, self.scale = good, bad, weights, mean, scale
+    def __init__(self, dictionaries: list[tuple[bytes, bytes]], lines: list[tuple[float, float] | None]):
+        self.dictionaries, self.lines = dictionaries, lines
 
     def compressors(self):
-        raw = lambda d: zstd.ZstdCompressionDict(d, dict_type=zstd.DICT_TYPE_AUTO)
-        made = []
-        for d in (self.good, self.bad):
-            c = raw(d)
-            c.precompute_compress(level=LEVEL)
-            made.append(zstd.ZstdCompressor(dict_data=c, write_content_size=False) if len(d) >= 8 else zstd.ZstdCompressor(level=LEVEL))
-        return [*made, zstd.ZstdCompressor(level=LEVEL, write_content_size=False)]
+        return [(_compressor(good), _compressor(bad)) for good, bad in self.dictionaries]
 
     @staticmethod
-    def features(text: bytes, compressors) -> tuple[float, ...]:
-        n = len(text)
-        if not n:
-            return (0.0, 0.0, 0.5, 0.0)
-        good, bad, plain = (len(c.compress(text)) for c in compressors)
-        return ((bad - good) / n, (bad - good) / max(plain, 1), min(plain / n, 1.5), math.log1p(n))
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        z = _expand((x - self.mean) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def differences(text: bytes, compressors) -> list[float]:
+        """Of each fold, how many bytes the good dictionary saves against the bad one, for each byte of the text."""
+        return [(len(bad.compress(text)) - len(good.compress(text))) / len(text) if text else 0.0 for good, bad in compressors]
 
+    def scores(self, d: np.ndarray) -> np.ndarray:
+        odds = [line[0] + line[1] * d[:, k] for k, line in enumerate(self.lines) if line]
+        return 1 / (1 + np.exp(-np.clip(np.mean(odds, axis=0), -30, 30))) if odds else np.full(len(d), 0.5)
 
-def _expand(z: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(z)), z, z[:, :3] ** 2, z[:, 0] * z[:, 2], z[:, 0] * z[:, 3]])
+    def score_texts(self, texts: pa.Array, compressors) -> np.ndarray:
+        d = [self.differences(t.as_buffer().to_pybytes() if t.is_valid else b"", compressors) for t in texts]
+        return self.scores(np.array(d).reshape(-1, len(self.dictionaries)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def calibrate(d: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """(a, b) of the log odds a + b * d by weighted logistic regression, a ridge on the slope of the scaled difference."""
+    mean, scale = d.mean(), d.std() + 1e-9
+    x = np.column_stack([np.ones(len(d)), (d - mean) / scale])
+    w, reg = np.zeros(2), np.array([1e-6, ridge])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        reg = np.full(len(w), ridge)
-        reg[0] = 1e-6
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(reg), x.T @ (weight * (y - p)) - reg * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return float(w[0] - w[1] * mean / scale), float(w[1] / scale)
+
+
+def _train(batches):
+    """One task: the dictionaries of each fold and label."""
+    rows = sorted((f, y, i, t.encode()) for b in batches for f, y, i, t in zip(*(b.column(c).to_pylist() for c in ("fold", "y", "id", "text")), strict=True))
+    made = [(f, y, train_dictionary([t for g, z, _, t in rows if (g, z) == (f, y)])) for f in FOLDS for y in (0, 1)]
+    yield pa.record_batch([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.binary())], ["fold", "y", "dictionary"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn=None) -> CompressionModel:
     """Fit on at most ``SAMPLE_ROWS`` rows of each label; ``learn``: condition on the column ``id``."""
+    spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(learn) if learn is not None else known
     chosen = None
     for y in (0, 1):  # the smallest hashes of either label, with a fixed bound: a top-k, not a sort of everything
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+        part = known.where(F.col("y") == y).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = text_rows(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "y", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    found = sorted({(r.id, r.y, r.text) for r in rows.collect()}, key=lambda r: (r[0], r[1], r[2]))
-    texts = [(i, y, t.encode()) for i, y, t in found]
-    blank = CompressionModel(b"", b"", np.zeros(10), np.zeros(4), np.ones(4))
-    if {y for _, y, _ in texts} != {0, 1}:
-        return blank
+    rows = text_rows(docs, id_col, text_col).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    # At most 2 * SAMPLE_ROWS rows from here on. Each label alternates between the folds.
+    fold = (F.row_number().over(Window.partitionBy("y").orderBy("id")) % len(FOLDS)).alias("fold")
+    sample = staged(rows.select("id", "y", fold, "text"), "quality-sample")
+    trained = {(r.fold, r.y): bytes(r.dictionary) for r in sample.repartition(1).mapInArrow(_train, "fold int, y int, dictionary binary").collect()}
+    model = CompressionModel([(trained.get((f, 1), b""), trained.get((f, 0), b"")) for f in FOLDS], [None for _ in FOLDS])
+    held = spark.sparkContext.broadcast(model)
+
+    def differ(batches):
+        model = held.value
+        tools = model.compressors()
+        for b in batches:
+            d = [model.differences((t or "").encode(), tools) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("fold"), b.column("y"), pa.array(d, pa.list_(pa.float64()))], ["fold", "y", "d"])
+
+    found = sorted((r.fold, r.y, *r.d) for r in sample.mapInArrow(differ, "fold int, y int, d array<double>").collect())  # numbers only
     there = known.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
     labelled = {r.y: r.n for r in there.groupBy("y").agg(F.count("*").alias("n")).collect()}  # of all labels, not of the sample
-    half = [n % 2 for n in range(len(texts))]
-    folds = []
-    for side in (0, 1):  # dictionaries from one half, calibration on the other, and the other way round
-        model = CompressionModel(*(_dictionary([t for (_, y, t), h in zip(texts, half, strict=True) if y == k and h == side], DICT_BYTES) for k in (1, 0)), *([np.zeros(0)] * 3))
-        tools = model.compressors()
-        folds.append((model, [(model.features(t, tools), y) for (_, y, t), h in zip(texts, half, strict=True) if h != side]))
-    x, y = (np.array(v, float) for v in zip(*folds[0][1], strict=True))
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    weight = np.where(y == 1, labelled[1] / max(1, (y == 1).sum()), labelled[0] / max(1, (y == 0).sum()))
-    weight *= len(y) / weight.sum()
-    return CompressionModel(folds[0][0].good, folds[0][0].bad, _logistic(_expand((x - mean) / scale), y, weight), mean, scale)
+    for f in FOLDS:  # the fold's dictionaries on the rows of the other fold
+        y = np.array([r[1] for r in found if r[0] != f], float)
+        if set(y) == {0.0, 1.0}:
+            weight = np.where(y == 1, labelled[1] / (y == 1).sum(), labelled[0] / (y == 0).sum())
+            model.lines[f] = calibrate(np.array([r[2 + f] for r in found if r[0] != f]), y, weight * len(y) / weight.sum())
+    return model
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,8 +143,7 @@ def score_quality(docs: DataFrame, model: CompressionModel, id_col: str = "doc_i
         model = held.value
         tools = model.compressors()
         for batch in batches:
-            x = np.array([model.features(t.as_buffer().to_pybytes() if t.is_valid else b"", tools) for t in batch.column("text").cast(pa.binary())]).reshape(-1, 4)
-            yield pa.record_batch([batch.column("id"), pa.array(model.scores(x), pa.float64())], ["id", "score"])
+            yield pa.record_batch([batch.column("id"), pa.array(model.score_texts(batch.column("text").cast(pa.binary()), tools), pa.float64())], ["id", "score"])
 
     return text_rows(docs, id_col, text_col).mapInArrow(score, "id long, score double")
 
@@ -142,7 +157,10 @@ def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows of ``docs`` that the classifier does not reject, with the columns of ``docs``."""
+    """Pipeline stage: the rows of ``docs`` that the classifier does not reject, with the columns of ``docs``.
+
+    An empty ``docs`` gives an empty result.
+    """
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=crc_mod("id", 5) != 0)
     held, schema = spark.sparkContext.broadcast(model), docs.schema
 
@@ -151,7 +169,6 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         tools = model.compressors()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-            x = np.array([model.features(t.as_buffer().to_pybytes() if t.is_valid else b"", tools) for t in texts]).reshape(-1, 4)
-            yield batch.filter(pa.array(model.scores(x) >= 0.3))
+            yield batch.filter(pa.array(model.score_texts(texts, tools) >= 0.3))
 
     return docs.mapInArrow(keep, schema)

@@ -12,10 +12,11 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from conftest import PAGES, rows
 from pyspark.sql import functions as F
 
-from skein.llm import flac, gru, lm, media, mixing, near_dedup, packing, privacy, quality, warc
+from skein.llm import flac, gru, langid, lm, media, mixing, near_dedup, packing, privacy, quality, warc
 from skein.llm.entry import QUERIES
 from skein.llm.exact_dedup import dedup_exact
 from skein.llm.shingles import OnePermutation
@@ -167,6 +168,43 @@ def test_scores_keep_the_ratio_of_all_labels_past_the_bound(spark, monkeypatch):
     assert abs(np.mean(scores) - 0.9) < 0.1
 
 
+def test_quality_against_brute_force(spark, monkeypatch):
+    """The dictionaries, the calibration and every score again, from single texts and plain loops."""
+    rng = np.random.default_rng(9)
+    say = lambda names, n: " ".join(str(rng.choice(names)) for _ in range(n))
+    good, bad = [f"word{k}" for k in range(300)], [f"junk{k}" for k in range(300)]
+    texts = {i: say(bad if i % 3 == 0 else good, 20 + i % 50) for i in range(240)} | {240: "", 241: "x" * 5000, 242: None, 243: say(good, 9000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = [(i, int(i % 3 > 0)) for i in range(200)] + [(243, 1), (900, 0)]
+    model = quality.fit_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    fold, raw = {}, {i: (t or "").encode() for i, t in texts.items()}
+    for y in (0, 1):
+        for n, i in enumerate(sorted(i for i, z in labels if z == y and i in texts), 1):
+            fold[i] = n % 2
+    marked = {i: y for i, y in labels if i in texts}
+    count, lines = Counter(marked.values()), []
+    for f in (0, 1):
+        made = tuple(quality.train_dictionary([raw[i] for i in sorted(fold) if fold[i] == f and marked[i] == y]) for y in (1, 0))
+        assert made == model.dictionaries[f]
+        other = [i for i in sorted(fold, key=lambda i: (marked[i], i)) if fold[i] != f]
+        y = np.array([marked[i] for i in other])
+        w = np.array([count[k] / (y == k).sum() for k in y])
+        size = lambda t, d: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False).compress(t))
+        gain = lambda t, made=made, size=size: (size(t, made[1]) - size(t, made[0])) / len(t) if t else 0.0
+        d = np.array([gain(raw[i]) for i in other])
+        z = (d - d.mean()) / d.std()
+        w = w * len(w) / w.sum()
+        a = b = 0.0
+        for _ in range(20_000):  # plain gradient ascent
+            e = w * (y - 1 / (1 + np.exp(-a - b * z)))
+            a, b = a + 0.02 * e.sum(), b + 0.02 * ((e * z).sum() - b)
+        lines.append((gain, a - b * d.mean() / d.std(), b / d.std()))
+    found = {r.id: r.score for r in quality.score_quality(docs, model).collect()}
+    for i, t in raw.items():
+        odds = np.mean([a + b * gain(t) for gain, a, b in lines])
+        assert math.isclose(found[i], 1 / (1 + math.exp(-max(-30, min(30, odds)))), abs_tol=1e-3)
+
+
 # 4. Packing
 
 
@@ -259,6 +297,49 @@ def test_no_letter_is_und(spark, tables):
     assert {found[i].lang_pred for i in (140, 141, 142)} == {"und"} and found[145].lang_pred in ("en", "fr")
 
 
+def plain_language_model(docs, smoothing=0.5):
+    """Counts and scores by dictionaries, n-gram by n-gram."""
+    fold = lambda t: " " + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t) + " "
+    m = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D]
+
+    def grams(t):
+        t = fold(t or "")
+        for n in (1, 2, 3):
+            for p in range(len(t) - n + 1):
+                g, h = t[p : p + n], 0
+                if {1: g != " ", 2: g != "  ", 3: g[1:2] != " "}[n]:
+                    for k in range(n):
+                        h = (h * m[0] + (ord(g[k]) + k + 1) * m[1]) % 2**32
+                    yield ((h ^ (h >> 15)) * m[2] % 2**32) >> 18
+
+    counts = defaultdict(Counter)
+    for t, lang in docs:
+        counts[lang].update(grams(t))
+    langs, rows = sorted(counts), Counter(lang for _, lang in docs)
+    total = {x: sum(counts[x].values()) + smoothing * langid.BUCKETS for x in langs}
+
+    def score(t):
+        g = list(grams(t))
+        if not any(c.isalpha() for c in t or ""):
+            return "und", 0.0
+        full = [sum(round(2**24 * math.log((counts[x][b] + smoothing) / total[x])) for b in g) / 2**24 + math.log(rows[x] / len(docs)) for x in langs]
+        z = [math.exp((v - max(full)) / math.sqrt(len(g))) for v in full]
+        return langs[full.index(max(full))], max(z) / sum(z)
+
+    return score
+
+
+@pytest.mark.parametrize("cut", [1, 5])
+def test_languages_against_brute_force(spark, tables, cut):
+    """Every label and score, however the table is cut."""
+    want = plain_language_model([(t, la) for i, t, la, _ in rows() if la is not None and i is not None and crc(i, 4) != 2])
+    docs = spark.read.parquet(f"{tables}/documents.parquet").repartition(cut)
+    found = langid.predict_languages(docs, langid.fit_languages(docs, learn=F.col("id").isNotNull() & (langid.crc_mod("id", 4) != 2))).collect()
+    expected = sorted((str(i), *want(t)) for i, t, _, _ in rows())
+    for (i, lang, s), r in zip(expected, sorted(found, key=lambda r: (str(r.id), r.lang_pred, r.score)), strict=True):
+        assert (i, lang) == (str(r.id), r.lang_pred) and math.isclose(s, r.score, abs_tol=1e-9)
+
+
 # 7. Exact deduplication
 
 
