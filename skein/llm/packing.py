@@ -2,14 +2,22 @@
 
 A document's length is its number of words plus one end token. Documents longer than the largest bin are
 cut into pieces of that size; every token is placed. Pieces are dealt to shards by a hash, and a shard is
-packed longest first: a piece goes into the open bin whose left space it fits best; where none has room, a
-bin is opened at the capacity whose cost per token is least for the piece and what is still to come, and
-may later give place to a larger permitted size if that lets it take a piece at a lower cost than a new
-bin. At the end every bin is downsized to the least permitted capacity that holds its contents. Bins of a
-shard that end less than ``REPACK_BELOW`` full are opened again and packed together in a second round with
-those of other shards, so cutting into shards costs next to nothing.
+packed longest first by best fit: a piece goes into the open bin whose left space it fits best; where none has
+room, a bin is opened. At which of the permitted capacities is chosen jointly for the whole shard: every rule of
+``opening_rules`` is followed to the end, and the least total cost wins. The rules are
 
-The cost of a bin is its capacity plus ``OVERHEAD`` tokens, so short bins are not free.
+* look ahead: what the pieces still to come can fill each capacity with, and the least cost per token of that
+  (the capacities compete at every opening, so a shard is filled with a mixture of them);
+* the same, with the pieces that were looked at put into the bin at once;
+* each capacity as the least one to open.
+
+Then pairs of bins are joined where one larger bin costs less than the two, and every bin is downsized to the least
+permitted capacity that holds its contents. Bins of a shard that end less than ``REPACK_BELOW`` full meet those
+of other shards in a second round, which keeps them as they were if that costs less.
+
+The cost of a bin of c tokens is OVERHEAD + c + c * c / ATTENTION: work that grows with the tokens, and attention,
+that grows with their square. Without the last term (``attention=None``) and with capacities that double, two
+bins never cost less than one of twice the size, so all but the last bins would be opened at the largest.
 
 Defined results: null and empty texts have the end token alone; a null id is a document like others;
 repeated rows are packed each; an empty table gives no bins.
@@ -18,7 +26,8 @@ repeated rows are packed each; an empty table gives no bins.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,92 +37,177 @@ from .common import staged, text_rows
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
+#: Length at which attention costs as much as all that is linear in the tokens: six times a width of 1024.
+ATTENTION = 6 * 1024
 #: Pieces of a shard, which a task packs at once.
 SHARD_PIECES = 20_000
 REPACK_BELOW = 0.97
 
-_OUT = "shard long, bin long, capacity long, used long, position long, id long, first_token long, n_tokens long"
-
-
-def best_fit(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> list[tuple[int, list[int]]]:
-    """Bins as (capacity, indices of ``lengths``); every length must fit the largest capacity."""
-    caps = sorted(capacities)
-    largest = caps[-1]
-    fit = lambda n: caps[bisect_left(caps, n)]
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    remaining = sum(lengths)
-    members: list[list[int]] = []
-    used: list[int] = []
-    cap: list[int] = []
-    room: list[tuple[int, int]] = []  # (left space, bin), sorted
-    grow: list[tuple[int, int]] = []  # (left space at the largest capacity, bin) of bins below it
-    for i in order:
-        n = lengths[i]
+Bins = list[list[int]]
+
+
+def bin_costs(capacities: tuple[int, ...], overhead: int = OVERHEAD, attention: int | None = ATTENTION) -> dict[int, float]:
+    return {c: overhead + c + (c * c / attention if attention else 0.0) for c in sorted(set(capacities))}
+
+
+class Pool:
+    """Pieces still to come, by length; finds the longest that is not above a bound."""
+
+    def __init__(self, lengths: list[int], largest: int):
+        self.left = [0] * (largest + 1)
+        for n in lengths:
+            self.left[n] += 1
+        self.below = [n if self.left[n] else n - 1 for n in range(largest + 1)]
+        self.below[0] = 0
+
+    def longest(self, bound: int) -> int:
+        """The greatest length up to ``bound`` with a piece left, or 0."""
+        at, below = bound, self.below
+        while below[at] != at:
+            below[at] = below[below[at]]
+            at = below[at]
+        return at
+
+    def take(self, n: int) -> None:
+        self.left[n] -= 1
+        if not self.left[n]:
+            self.below[n] = n - 1
+
+    def fill(self, room: int) -> list[tuple[int, int]]:
+        """(length, pieces) that fill ``room``, the longest first; nothing is taken."""
+        out, at = [], room
+        while room and (n := self.longest(min(room, at))):
+            k = min(self.left[n], room // n)
+            out.append((n, k))
+            room, at = room - n * k, n - 1
+        return out
+
+
+def cheapest(n: int, pool: Pool, costs: dict[int, float]) -> tuple[int, list[tuple[int, int]]]:
+    """The capacity with the least cost per token if a piece of ``n`` opens it and ``pool`` fills it, and that filling."""
+    caps, best = list(costs), None
+    for c in caps[bisect_left(caps, n) :]:
+        filling = pool.fill(c - n)
+        used = n + sum(m * k for m, k in filling)
+        worth = (costs[caps[bisect_left(caps, used)]] / used, -c)
+        if best is None or worth < best[0]:
+            best = worth, c, filling
+    return best[1], best[2]
+
+
+def best_fit(lengths: list[int], largest: int, opened: Callable[[int, Pool], int]) -> Bins:
+    """Best fit of ``lengths``, which fall; ``opened(n, pool)`` is the capacity of a new bin."""
+    pool, bins, room = Pool(lengths, largest), [], []
+    for i, n in enumerate(lengths):
+        pool.take(n)
         at = bisect_left(room, (n, -1))
         if at < len(room):
             left, b = room.pop(at)
         else:
-            # A larger size of an open bin against a new bin: what each adds to the cost.
-            new_cap = min((c for c in caps if c >= n), key=lambda c: ((c + overhead) / min(c, max(n, min(c, remaining))), c))
-            at = bisect_left(grow, (n, -1))
-            b = -1
-            if at < len(grow):
-                _, g = grow[at]
-                bigger = fit(used[g] + n)
-                if bigger - cap[g] < new_cap + overhead and (bigger - cap[g]) <= fit(n) + overhead:
-                    b = g
-            if b >= 0:
-                grow.pop(at)
-                stale = (cap[b] - used[b], b)
-                k = bisect_left(room, stale)
-                if k < len(room) and room[k] == stale:
-                    room.pop(k)
-                cap[b] = fit(used[b] + n)
-            else:
-                b = len(members)
-                members.append([])
-                used.append(0)
-                cap.append(new_cap)
-            left = cap[b] - used[b]
-        old = (largest - used[b], b)
-        k = bisect_left(grow, old)
-        if k < len(grow) and grow[k] == old:
-            grow.pop(k)
-        members[b].append(i)
-        used[b] += n
-        remaining -= n
-        if left - n > 0:
+            left, b = opened(n, pool), len(bins)
+            bins.append([])
+        bins[b].append(i)
+        if left > n:
             insort(room, (left - n, b))
-        if cap[b] < largest:
-            insort(grow, (largest - used[b], b))
-    return [(fit(u), m) for u, m in zip(used, members, strict=True)]
+    return bins
+
+
+def filled_at_once(lengths: list[int], costs: dict[int, float]) -> Bins:
+    """Each bin takes what the least cost per token was reckoned with."""
+    pool, bins = Pool(lengths, max(costs)), []
+    of: dict[int, list[int]] = {}
+    for i in range(len(lengths) - 1, -1, -1):
+        of.setdefault(lengths[i], []).append(i)
+    for n in sorted(of, reverse=True):
+        while of[n]:
+            pool.take(n)
+            _, filling = cheapest(n, pool, costs)
+            bins.append([of[n].pop()])
+            for m, k in filling:
+                for _ in range(k):
+                    pool.take(m)
+                    bins[-1].append(of[m].pop())
+    return bins
+
+
+def joined(bins: Bins, lengths: list[int], costs: dict[int, float]) -> Bins:
+    """Pairs of bins put into one where that costs less; the fullest that fits goes with the least full."""
+    caps = list(costs)
+    price = lambda n: costs[caps[bisect_left(caps, n)]]
+    used = sorted((sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
+    out = []
+    while used:
+        n, k = used.pop(0)
+        best = None
+        for c in caps:
+            at = bisect_right(used, (c - n, len(bins))) - 1
+            if at >= 0 and (gain := price(n) + price(used[at][0]) - price(n + used[at][0])) > 1e-9 and (best is None or gain > best[0]):
+                best = gain, at
+        if best is None:
+            out.append((k, bins[k]))
+        else:
+            m, j = used.pop(best[1])
+            bins[j] = bins[j] + bins[k]
+            insort(used, (n + m, j))
+    return [b for _, b in sorted(out)]
+
+
+def opening_rules(costs: dict[int, float]) -> list[Callable[[list[int]], Bins]]:
+    caps, largest = list(costs), max(costs)
+    at_least = lambda low: lambda lengths: best_fit(lengths, largest, lambda n, _: max(low, caps[bisect_left(caps, n)]))
+    return [lambda lengths: best_fit(lengths, largest, lambda n, pool: cheapest(n, pool, costs)[0]), lambda lengths: filled_at_once(lengths, costs), *(at_least(c) for c in reversed(caps))]
+
+
+def pack(lengths: list[int], costs: dict[int, float]) -> list[tuple[int, list[int]]]:
+    """The cheapest bins of all rules, as (capacity, indices of ``lengths``); every length is from 1 to the largest capacity."""
+    caps, order = list(costs), sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    falling, best = [lengths[i] for i in order], None
+    for rule in opening_rules(costs):
+        bins = joined(rule(falling), falling, costs)
+        made = [(caps[bisect_left(caps, sum(falling[i] for i in b))], b) for b in bins]
+        total = sum(costs[c] for c, _ in made)
+        if best is None or total < best[0] - 1e-9:
+            best = total, made
+    return [(c, [order[i] for i in b]) for c, b in best[1]]
+
+
+_OUT = "shard long, bin long, capacity long, used long, position long, id long, first_token long, n_tokens long"
+_NAMES = ["shard", "bin", "capacity", "used", "position", "id", "first_token", "n_tokens", "seq", "done"]
+
 
+def _pack(costs: dict[int, float], last: bool):
+    """Pack one shard; in the second round its pieces come in bins (``old``), which stay if they cost less together."""
 
-def _pack(capacities: tuple[int, ...], overhead: int, last: bool):
-    def pack(key, table):
+    def run(key, table):
         shard = key[0].as_py()
         ids, first, n, seq = (table.column(c).to_pylist() for c in ("id", "first_token", "n_tokens", "seq"))
         order = sorted(range(len(n)), key=lambda i: (-n[i], seq[i], first[i]))
-        bins = best_fit([n[i] for i in order], capacities, overhead)
-        cols: list[list] = [[] for _ in range(10)]
+        bins = [(c, [order[m] for m in members]) for c, members in pack([n[i] for i in order], costs)]
+        if last:
+            old: dict[tuple, list[int]] = {}
+            caps = {}
+            for i, name in enumerate(zip(*(table.column(c).to_pylist() for c in ("old_shard", "old_bin", "old_capacity")), strict=True)):
+                old.setdefault(name[:2], []).append(i)
+                caps[name[:2]] = name[2]
+            if sum(costs[c] for c in caps.values()) < sum(costs[c] for c, _ in bins):
+                bins = [(caps[k], sorted(old[k], key=lambda i: (-n[i], seq[i], first[i]))) for k in sorted(old)]
+        cols: list[list] = [[] for _ in _NAMES]
         for b, (cap, members) in enumerate(bins):
-            used = sum(n[order[m]] for m in members)
+            used = sum(n[i] for i in members)
             done = last or used >= REPACK_BELOW * cap
-            for pos, m in enumerate(members):
-                i = order[m]
+            for pos, i in enumerate(members):
                 for c, v in zip(cols, (shard, b, cap, used, pos, ids[i], first[i], n[i], seq[i], done), strict=True):
                     c.append(v)
-        types = [pa.int64()] * 9 + [pa.bool_()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["shard", "bin", "capacity", "used", "position", "id", "first_token", "n_tokens", "seq", "done"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 9 + [pa.bool_()], strict=True)], names=_NAMES)
 
-    return pack
+    return run
 
 
-def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD) -> DataFrame:
+def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD, attention: int | None = ATTENTION) -> DataFrame:
     """One row per piece: ``shard, bin, capacity, used, position, id, first_token, n_tokens``; (shard, bin) names a bin."""
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
-    largest = max(capacities)
+    largest, costs = max(capacities), bin_costs(capacities, overhead, attention)
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     rows = text_rows(docs, id_col, text_col).select("id", (words + 1).cast("long").alias("n"), F.monotonically_increasing_id().alias("seq"))
     rows = staged(rows, "pack-lengths")
@@ -123,11 +217,12 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id
     shards = max(1, math.ceil(total / SHARD_PIECES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 200)))
     typed = f"{_OUT}, seq long, done boolean"
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("seq", "first_token"), F.lit(shards)).cast("long"))
-    one = staged(dealt.groupBy("shard").applyInArrow(_pack(capacities, overhead, False), typed), "pack-1")
-    # What the first round left loose is packed again, by fewer and mixed shards.
+    one = staged(dealt.groupBy("shard").applyInArrow(_pack(costs, False), typed), "pack-1")
+    # Bins that the first round left loose meet in fewer and mixed shards; a bin's pieces stay together on the way.
     fewer = max(1, math.ceil(shards / 8))
-    loose = one.where("not done").select("id", "seq", "first_token", "n_tokens", (F.lit(shards) + F.pmod(F.xxhash64("first_token", "seq"), F.lit(fewer))).cast("long").alias("shard"))
-    two = loose.groupBy("shard").applyInArrow(_pack(capacities, overhead, True), typed)
+    mixed = (F.lit(shards) + F.pmod(F.xxhash64("shard", "bin"), F.lit(fewer))).cast("long")
+    loose = one.where("not done").select("id", "seq", "first_token", "n_tokens", F.col("shard").alias("old_shard"), F.col("bin").alias("old_bin"), F.col("capacity").alias("old_capacity"), mixed.alias("shard"))
+    two = loose.groupBy("shard").applyInArrow(_pack(costs, True), typed)
     return one.where("done").unionByName(two).drop("seq", "done")
 
 

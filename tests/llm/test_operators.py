@@ -223,14 +223,66 @@ def test_packing_places_every_token_once(spark, tables):
     assert {i: sum(n for _, n in p) for i, p in pieces.items()} == lengths
 
 
+def best_packing_cost(lengths, costs):
+    """Least cost over all ways to part the pieces."""
+    price = lambda n: min((c for k, c in costs.items() if k >= n), default=math.inf)
+
+    def parts(xs):
+        if not xs:
+            yield []
+            return
+        for p in parts(xs[1:]):
+            yield [xs[0], *p]
+            for i in range(len(p)):
+                yield [*p[:i], p[i] + xs[0], *p[i + 1 :]]
+
+    return min(sum(map(price, p)) for p in parts(lengths))
+
+
+def packed_cost(lengths, costs):
+    made = packing.pack(lengths, costs)
+    assert sorted(i for _, m in made for i in m) == list(range(len(lengths)))
+    assert all(c == min(k for k in costs if k >= sum(lengths[i] for i in m)) for c, m in made)
+    return sum(costs[c] for c, _ in made)
+
+
+def test_packing_against_brute_force():
+    rng, ratios = np.random.default_rng(4), []
+    for n in range(150):
+        caps = [(512, 1024, 2048, 4096), (100, 170, 300), (7, 12, 19)][n % 3]
+        costs = packing.bin_costs(caps, int(rng.choice([1, 16])), [None, caps[-1]][n // 3 % 2])
+        lengths = [int(rng.integers(1, caps[rng.choice([0, -1])] + 1)) for _ in range(rng.integers(1, 8))]
+        ratios.append(packed_cost(lengths, costs) / best_packing_cost(lengths, costs))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 1.3 and np.mean(ratios) < 1.01
+
+
+@pytest.mark.parametrize(("caps", "attention"), [((700, 1500, 4096), None), (packing.CAPACITIES, packing.ATTENTION)])
+def test_joint_sizes_beat_the_largest_size(caps, attention):
+    """Mixes whose pieces leave gaps in the largest bin, or are dear there."""
+    rng, costs, largest = np.random.default_rng(6), packing.bin_costs(caps, 16, attention), max(caps)
+    lengths = sorted([700] * 101 + [1500] * 53 + rng.integers(650, 700, 200).tolist(), reverse=True)
+    plain = packing.best_fit(lengths, largest, lambda n, pool: largest)
+    downsized = sum(min(c for k, c in costs.items() if k >= sum(lengths[i] for i in m)) for m in plain)
+    assert packed_cost(lengths, costs) < 0.99 * downsized
+
+
 def test_best_fit_is_close_to_full():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 900, 3000).tolist()
-    made = packing.best_fit(lengths)
-    assert sorted(i for _, m in made for i in m) == list(range(3000))
-    assert all(sum(lengths[i] for i in m) <= cap for cap, m in made)
+    made = packing.pack(lengths, packing.bin_costs(packing.CAPACITIES, 16, None))
     assert sum(cap for cap, _ in made) < 1.02 * sum(lengths)
-    assert packing.best_fit([4096, 1, 512]) == [(4096, [0]), (512, [2]), (512, [1])] or sum(c for c, _ in packing.best_fit([4096, 1, 512])) <= 5120
+    # A bin of 1024 costs less than two of 512 by their overhead, and more with attention.
+    assert packing.pack([4096, 1, 512], packing.bin_costs(packing.CAPACITIES, 16, None)) == [(4096, [0]), (1024, [2, 1])]
+    assert packing.pack([4096, 1, 512], packing.bin_costs(packing.CAPACITIES, 16, 6144)) == [(4096, [0]), (512, [2]), (512, [1])]
+
+
+def test_second_round_never_costs_more(spark):
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, "w " * int(rng.integers(1, 1500))) for i in range(3000)], "doc_id long, text string")
+    costs = packing.bin_costs(packing.CAPACITIES)
+    made = packing.pack_documents(docs).select("shard", "bin", "capacity").distinct().collect()
+    lengths = [len(words(r.text)) + 1 for r in docs.collect()]
+    assert sum(costs[r.capacity] for r in made) < 1.02 * packed_cost(lengths, costs)
 
 
 # 5. Mixing
