@@ -5,11 +5,15 @@ shared folder. Of records with equal payloads one is the response, the others ar
 refer to it. Each record's capture line - reversed-host URL key, time, page id, record type, digest, archive,
 offset, length - goes into the index.
 
-Index: capture lines are range-partitioned and sorted by key, cut into blocks of ``LINES_PER_BLOCK`` lines,
-each compressed by itself; a sparse directory keeps the first key, file, offset and length of each block.
-A lookup does a binary search in the directory, reads one block (or the run of blocks that a key spans) by
-range, searches the lines, and reads just the records' ranges of the archives. The directory itself is cut
-into parts of ``DIRECTORY_LINES`` lines behind one top line each, so a lookup reads one part of it.
+Index: capture lines are range-partitioned and sorted by URL key, page id and row number, cut into blocks of
+``LINES_PER_BLOCK`` lines, each compressed by itself; a sparse directory keeps the first and last key, file, offset
+and length of each block. A lookup does a binary search in the directory, reads one block (or the run of blocks
+that a URL key spans) by range, searches the lines, and reads just the records' ranges of the archives. The
+directory itself is cut into parts of ``DIRECTORY_LINES`` lines behind one top line each, so a lookup reads one
+part of it.
+
+Reading back: every page is looked up by its key. The pages are sorted like the index and dealt in ranges to the
+tasks, so a task reads each of its blocks once, and the id in the key cuts a URL with very many captures up.
 
 Defined results: null html is an empty payload, null url an empty key; equal payloads among rows with the
 same page id are told apart by their position; a page with a null id may refer but is never referred to
@@ -39,6 +43,10 @@ LINES_PER_BLOCK = 1000
 DIRECTORY_LINES = 10_000
 #: Smallest payload that is worth a revisit record.
 REVISIT_FROM = 0
+#: Equal payloads of more pages than this are joined by broadcast: there are at most rows / HOT_ROWS such payloads.
+HOT_ROWS = 100_000
+#: Records that are read at once, and the largest gap and range of one read.
+FETCH_RECORDS, FETCH_GAP, FETCH_BYTES = 512, 1 << 15, 4 << 20
 _EPOCH = "2024-01-01T00:00:00Z"
 _LEVEL = 6
 
@@ -118,19 +126,29 @@ def _members(data: bytes):
 _CAPTURE = "page_id long, seq long, url_key string, record_type string, digest string, refers_to long, archive string, offset long, length long"
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """Write the archives into ``folder`` and return the capture lines, one per page."""
+def numbered_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``page_id, url, payload, sha1, n, seq`` in a written copy, for row numbers hold for one reading of a table only."""
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
-    # Row numbers hold for one reading of the table only, so they are fixed by a written copy - of the keys alone;
-    # the payload's row is found again by its digest and id.
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
-    rows = staged(rows.withColumn("seq", F.monotonically_increasing_id()), "warc-in")
+    return staged(rows.withColumn("seq", F.monotonically_increasing_id()), "warc-in")
+
+
+def responses_of(rows: DataFrame, revisit_from: int) -> DataFrame:
+    """``seq, keep_seq, keep_id`` of the rows that revisit another row's payload."""
     one = rows.where(F.col("n") >= revisit_from).select("sha1", "n", F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("id"), (-F.col("seq")).alias("seq")).alias("best"))
     # Classes first without the payloads; the partial maximum takes the weight off a payload that many pages share.
     classes = one.groupBy("sha1", "n").agg(F.max("best").alias("best"), F.count("*").alias("size")).where("size > 1")
-    keyed = rows.select("seq", "sha1", "n").join(classes, ["sha1", "n"]).select("seq", (-F.col("best.seq")).alias("keep_seq"), F.col("best.id").alias("keep_id")).where("seq != keep_seq")
-    found = rows.join(keyed, "seq", "left").select("page_id", "seq", "url", "payload", "keep_seq", F.when(F.col("keep_id") != -(2**63), F.col("keep_id")).alias("keep_id"))
+    classes = staged(classes, "warc-classes")
+    hot, key = F.broadcast(classes.where(F.col("size") > HOT_ROWS)), ["sha1", "n"]
+    ours = rows.select("seq", *key)
+    shared = ours.join(hot, key).unionByName(ours.join(hot, key, "left_anti").join(classes.where(F.col("size") <= HOT_ROWS), key))
+    return shared.select("seq", (-F.col("best.seq")).alias("keep_seq"), F.col("best.id").alias("keep_id")).where("seq != keep_seq")
+
+
+def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, revisit_from: int = REVISIT_FROM) -> DataFrame:
+    """Write the archives of ``numbered_pages`` into ``folder`` and return the capture lines, one per page."""
+    found = rows.join(responses_of(rows, revisit_from), "seq", "left").select("page_id", "seq", "url", "payload", "keep_seq", F.when(F.col("keep_id") != -(2**63), F.col("keep_id")).alias("keep_id"))
 
     def write(batches):
         import uuid
@@ -171,7 +189,7 @@ def write_index(captures: DataFrame, folder: str, lines_per_block: int = LINES_P
     spark = captures.sparkSession
     line = F.concat_ws("\t", "url_key", F.lit(_EPOCH), F.to_json(F.struct("page_id", "seq", "record_type", "digest", "refers_to", "archive", "offset", "length"), {"ignoreNullFields": "false"}))
     # The id takes part in the order, so one key with very many captures is still cut into ranges.
-    ranged = captures.withColumn("line", line).repartitionByRange(shuffle_partitions(spark), "url_key", "page_id", "seq").sortWithinPartitions("url_key", "page_id", "seq")
+    ranged = captures.withColumn("line", line).repartitionByRange(shuffle_partitions(spark), *_ORDER).sortWithinPartitions(*_ORDER)
 
     def blocks(batches):
         import uuid
@@ -180,26 +198,33 @@ def write_index(captures: DataFrame, folder: str, lines_per_block: int = LINES_P
         path = f"{folder}/captures-{name}.idx"
 
         def close():
-            packed = zlib.compress("\n".join(x for _, x in pending).encode(), _LEVEL)
-            rows.append((pending[0][0], pending[-1][0], path, len(buffer), len(packed), len(pending)))
+            packed = zlib.compress("\n".join(x[3] for x in pending).encode(), _LEVEL)
+            rows.append((*pending[0][:3], *pending[-1][:3], path, len(buffer), len(packed), len(pending)))
             buffer.extend(packed)
             pending.clear()
 
         for batch in batches:
-            for pair in zip(batch.column("url_key").to_pylist(), batch.column("line").to_pylist(), strict=True):
-                pending.append(pair)
+            for entry in zip(*(batch.column(c).to_pylist() for c in (*_ORDER, "line")), strict=True):
+                pending.append(entry)
                 if len(pending) >= lines_per_block:
                     close()
         if pending:
             close()
         if rows:
             sharedfs.write_file(path, bytes(buffer))
-            yield pa.record_batch([pa.array(list(c)) for c in zip(*rows, strict=True)], ["first_key", "last_key", "file", "offset", "length", "lines"])
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _ENTRY.types, strict=True)], schema=_ENTRY)
 
-    made = ranged.select("url_key", "line").mapInArrow(blocks, "first_key string, last_key string, file string, offset long, length long, lines long")
+    made = ranged.select(*_ORDER, "line").mapInArrow(blocks, f"{_ENDS}, file string, offset long, length long, lines long")
     return staged(made, "warc-directory")
 
 
+_ORDER = ("url_key", "page_id", "seq")
+_FIRST, _LAST = ("first_key", "first_id", "first_seq"), ("last_key", "last_id", "last_seq")
+_ENDS = "first_key string, first_id long, first_seq long, last_key string, last_id long, last_seq long"
+_KEY_TYPES = (pa.string(), pa.int64(), pa.int64())
+_ENTRY = pa.schema([*zip((*_FIRST, *_LAST), _KEY_TYPES * 2, strict=True), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())])
+
+
 def write_directory(directory: DataFrame, path: str, part_lines: int = DIRECTORY_LINES) -> None:
     """Save the sparse directory as sorted parts behind a top file with one line for each part."""
     folder = path
@@ -207,16 +232,13 @@ def write_directory(directory: DataFrame, path: str, part_lines: int = DIRECTORY
     def parts(batches):
         import uuid
 
-        name, rows, k = uuid.uuid4().hex, [], 0
-        top = []
+        name, rows, top = uuid.uuid4().hex, [], []
 
         def close():
-            nonlocal k
-            file = f"{folder}/directory-{name}-{k:05d}"
+            file = f"{folder}/directory-{name}-{len(top):05d}"
             sharedfs.write_file(file, "\n".join(json.dumps(r) for r in rows).encode())
-            top.append((rows[0][0], rows[-1][1], file))
+            top.append((*rows[0][:3], *rows[-1][3:6], file))
             rows.clear()
-            k += 1
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -226,44 +248,119 @@ def write_directory(directory: DataFrame, path: str, part_lines: int = DIRECTORY
         if rows:
             close()
         if top:
-            yield pa.record_batch([pa.array(list(c)) for c in zip(*top, strict=True)], ["first_key", "last_key", "file"])
+            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*top, strict=True), _ENTRY.types[:7], strict=True)], _ENTRY.names[:7])
 
     n = max(1, -(-directory.count() // part_lines))
-    ranged = directory.repartitionByRange(n, "first_key", "last_key", "file", "offset").sortWithinPartitions("first_key", "last_key", "file", "offset")
-    made = staged(ranged.mapInArrow(parts, "first_key string, last_key string, file string"), "warc-top")
+    ranged = directory.repartitionByRange(n, *_FIRST).sortWithinPartitions(*_FIRST)
+    made = staged(ranged.mapInArrow(parts, f"{_ENDS}, file string"), "warc-top")
     # One line for DIRECTORY_LINES * LINES_PER_BLOCK captures.
-    top = sorted((r.first_key, r.last_key, r.file) for r in made.collect())
+    top = sorted((list(r) for r in made.collect()), key=lambda r: _place(*r[:3]))
     sharedfs.write_file(f"{folder}/directory-top", "\n".join(json.dumps(r) for r in top).encode())
 
 
-def _runs(entries: list, key: str) -> list:
-    """Of entries sorted by (first, last): those whose range holds ``key``, found by binary search."""
-    hi = bisect.bisect_right([e[0] for e in entries], key)
-    lo = bisect.bisect_left([e[1] for e in entries], key)
-    return entries[lo:hi]
+def _place(key: str, page_id, seq: int) -> tuple:
+    """Where a capture stands in the order of the index: null ids come first."""
+    return (key, page_id is not None, page_id or 0, seq)
+
+
+class _Run:
+    """Sorted entries with their first and last places; those that may hold a place are found by binary search."""
+
+    def __init__(self, data: bytes):
+        self.entries = [json.loads(x) for x in data.decode().split("\n") if x]
+        self.first, self.last = ([_place(*e[a : a + 3]) for e in self.entries] for a in (0, 3))
+
+    def between(self, low: tuple, high: tuple) -> list:
+        return self.entries[bisect.bisect_left(self.last, low) : bisect.bisect_right(self.first, high)]
 
 
 class CaptureIndex:
-    """Point lookups in a written index; reads the top, one directory part, one block, and record ranges."""
+    """Lookups in a written index; reads the top, one directory part, one block, and record ranges.
+
+    The part and the block read last are kept, so lookups in the order of the index read each of them once.
+    """
 
     def __init__(self, folder: str):
-        text = sharedfs.read_file(f"{folder}/directory-top").decode()
-        self.top = [json.loads(x) for x in text.split("\n") if x]
+        self.top = _Run(sharedfs.read_file(f"{folder}/directory-top"))
+        self._part: tuple = (None, None)
+        self._block: tuple = (None, None, None)
+
+    def _captures(self, low: tuple, high: tuple) -> list[dict]:
+        found = []
+        for *_, part in self.top.between(low, high):
+            if self._part[0] != part:
+                self._part = (part, _Run(sharedfs.read_file(part)))
+            for *_, file, offset, length, _ in self._part[1].between(low, high):
+                if self._block[0] != (file, offset):
+                    lines = [x.split("\t", 2) for x in zlib.decompress(sharedfs.read_range(file, offset, length)).decode().split("\n")]
+                    lines = [(x[0], json.loads(x[2])) for x in lines]
+                    self._block = ((file, offset), [_place(k, c["page_id"], c["seq"]) for k, c in lines], [c for _, c in lines])
+                _, places, captures = self._block
+                found += captures[bisect.bisect_left(places, low) : bisect.bisect_right(places, high)]
+        return found
 
     def lookup(self, url: str) -> list[dict]:
-        key, found = url_key(url), []
-        for _, _, part in _runs(self.top, key):
-            entries = [json.loads(x) for x in sharedfs.read_file(part).decode().split("\n") if x]
-            for _, _, file, offset, length, _ in _runs(entries, key):
-                lines = zlib.decompress(sharedfs.read_range(file, offset, length)).decode().split("\n")
-                at = bisect.bisect_left(lines, key + "\t")
-                while at < len(lines) and lines[at].startswith(key + "\t"):
-                    found.append(json.loads(lines[at].split("\t", 2)[2]))
-                    at += 1
-        return found
+        """All captures of a URL."""
+        key = url_key(url)
+        return self._captures((key,), (key, 2))
+
+    def lookup_page(self, key: str, page_id, seq: int) -> dict:
+        """The capture of one page, by its URL key, id and row number."""
+        place = _place(key, page_id, seq)
+        found = self._captures(place, place)
+        if len(found) != 1:
+            raise ValueError(f"the index has {len(found)} captures of page {page_id} at {key}")
+        return found[0]
 
     def fetch(self, capture: dict) -> dict:
-        return parse_record(gzip.decompress(sharedfs.read_range(capture["archive"], capture["offset"], capture["length"])))
+        return next(self.fetch_all([capture]))
+
+    @staticmethod
+    def fetch_all(captures: list[dict]):
+        """The records of the captures, in the order of the archives; neighbours are read by one range."""
+        left = sorted(captures, key=lambda c: (c["archive"], c["offset"]))
+        while left:
+            path, start, end, n = left[0]["archive"], left[0]["offset"], left[0]["offset"] + left[0]["length"], 1
+            while n < len(left) and left[n]["archive"] == path and left[n]["offset"] - end <= FETCH_GAP and left[n]["offset"] + left[n]["length"] - start <= FETCH_BYTES:
+                end, n = left[n]["offset"] + left[n]["length"], n + 1
+            data = sharedfs.read_range(path, start, end - start)
+            for c in left[:n]:
+                yield parse_record(gzip.decompress(data[c["offset"] - start : c["offset"] - start + c["length"]]))
+            left = left[n:]
+
+
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RECORD_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+
+def _described(r: dict) -> tuple:
+    refers = r.get("WARC-Refers-To", "")
+    target = refers.split(":")[2] if refers else ""
+    return (
+        int(r["X-Page-ID"]) if r["X-Page-ID"] else None, int(r["X-Payload-Length"]) if r["payload"] is None else len(r["payload"]),
+        r["WARC-Payload-Digest"].removeprefix("sha1:"), r["WARC-Type"], int(target) if target not in ("", "null") else None,
+    )
+
+
+def read_by_index(pages: DataFrame, folder: str) -> DataFrame:
+    """Look up every row of ``numbered_pages`` in the index of ``folder``, and read its record's range of the archive."""
+    spark = pages.sparkSession
+
+    def keys(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string()), batch.column("page_id"), batch.column("seq")], list(_ORDER))
+
+    def read(batches):
+        index = None
+        for batch in batches:
+            index = index or CaptureIndex(folder)
+            wanted = list(zip(*(batch.column(c).to_pylist() for c in _ORDER), strict=True))
+            for at in range(0, len(wanted), FETCH_RECORDS):
+                rows = [_described(r) for r in index.fetch_all([index.lookup_page(*w) for w in wanted[at : at + FETCH_RECORDS]])]
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _RECORD_TYPES, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    asked = pages.select("url", "page_id", "seq").mapInArrow(keys, "url_key string, page_id long, seq long")
+    return asked.repartitionByRange(shuffle_partitions(spark), *_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(read, _RECORD)
 
 
 def read_archives(captures: DataFrame) -> DataFrame:
@@ -274,22 +371,20 @@ def read_archives(captures: DataFrame) -> DataFrame:
             for path in batch.column("archive").to_pylist():
                 rows = []
                 for offset, length, data in _members(sharedfs.read_file(path)):
-                    r = parse_record(data)
-                    refers = r.get("WARC-Refers-To", "")
-                    target = refers.split(":")[2] if refers else ""
-                    rows.append((int(r["X-Page-ID"]) if r["X-Page-ID"] else None, int(r["X-Payload-Length"]) if r["payload"] is None else len(r["payload"]), r["WARC-Payload-Digest"].removeprefix("sha1:"), r["WARC-Type"], int(target) if target not in ("", "null") else None, path, offset, length))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+                    rows.append((*_described(parse_record(data)), path, offset, length))
+                types = [*_RECORD_TYPES, pa.string(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length"])
 
-    files = captures.select("archive").distinct()
-    return files.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
+    # A list of files is a few bytes; an explicit number of tasks keeps them from being read by one.
+    files = captures.select("archive").distinct().repartition(shuffle_partitions(captures.sparkSession), "archive")
+    return files.mapInArrow(read, f"{_RECORD}, archive string, offset long, length long")
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
-    captures = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    write_directory(write_index(captures, folder), folder)
-    return read_archives(captures).drop("archive", "offset", "length")
+    pages = numbered_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    write_directory(write_index(write_archives(pages, folder), folder), folder)
+    return read_by_index(pages, folder)
 
 
 OP9_SQL = """

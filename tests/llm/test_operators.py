@@ -478,11 +478,17 @@ def test_links_away_from_the_centres(spark, monkeypatch, tile):
 # 9. WARC
 
 
-def test_archives_and_index(spark, tables, tmp_path):
+@pytest.fixture
+def archived(spark, tables, tmp_path):
     folder = f"file://{tmp_path}/warc"
-    pages = spark.read.parquet(f"{tables}/pages.parquet")
+    pages = warc.numbered_pages(spark.read.parquet(f"{tables}/pages.parquet"))
     captures = warc.write_archives(pages, folder)
     warc.write_directory(warc.write_index(captures, folder, lines_per_block=2), folder, part_lines=2)
+    return folder, pages, captures
+
+
+def test_archives_and_index(archived):
+    folder, _, captures = archived
     index = warc.CaptureIndex(folder)
     found = index.lookup("https://example.org/a?b=1")
     assert sorted(c["page_id"] for c in found) == [1, 6]
@@ -494,6 +500,30 @@ def test_archives_and_index(spark, tables, tmp_path):
         assert r.record_type == "response" or r.refers_to == {"<p>one</p>": 2, "": 4, "ü": 5}[html[0]]
 
 
+def test_pages_are_read_through_the_index(archived, tmp_path):
+    """The lookups give what the archives hold, and nothing without the index."""
+    folder, pages, captures = archived
+    whole = warc.read_archives(captures).drop("archive", "offset", "length")
+    assert sorted(map(str, warc.read_by_index(pages, folder).collect())) == sorted(map(str, whole.collect()))
+    for part in tmp_path.glob("warc/captures-*"):
+        part.unlink()
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        warc.read_by_index(pages, folder).collect()
+
+
+def test_pages_of_one_url_with_a_long_payload_and_clashing_columns(spark, tmp_path, monkeypatch):
+    """One URL and one payload on most rows, a payload of several megabytes, other columns of any name."""
+    monkeypatch.setattr(warc, "HOT_ROWS", 50)
+    long = "<p>" + "".join(f"{i:x} " for i in range(900_000))
+    html = {i: "same" if i < 400 else long if i == 400 else f"p{i}" for i in range(500)}
+    pages = spark.createDataFrame([(i, "http://one.org/", h, 7, "a", 1) for i, h in html.items()], "page_id long, url string, html string, seq long, payload string, n int")
+    rows = warc.numbered_pages(pages.repartition(7))
+    folder = f"file://{tmp_path}/warc"
+    warc.write_directory(warc.write_index(warc.write_archives(rows, folder, archive_bytes=20_000), folder, lines_per_block=20), folder, part_lines=3)
+    found = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_by_index(rows, folder).collect()}
+    assert found == {i: (len(h), "revisit" if i < 399 else "response", 399 if i < 399 else None) for i, h in html.items()}
+
+
 def test_url_keys_sort_by_host():
     assert warc.url_key("http://www.Example.org:80/a?b=1#c") == "org,example)/a?b=1"
     assert warc.url_key(None) == ")/" and warc.url_key("http://h:99") == "h:99)/"
