@@ -2,8 +2,8 @@
 
 The vocabulary of the network is bounded: ``HEAD`` frequent words, each in a class of ``CLASS_WORDS``, and
 ``TAIL`` classes for all other words. A head word has probability P(class | state) P(word | class, state); a
-tail word P(class | state) P(word | class), the latter from discounted counts with a share for words never
-seen, so that the probabilities of all words, unseen ones included, add up to one.
+tail word P(class | state) P(word | class), the latter from discounted counts, with a share for words never seen
+that their spellings divide among them (see ``lm``): the probabilities of all words add up to one at most.
 """
 
 from __future__ import annotations

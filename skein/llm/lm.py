@@ -1,15 +1,23 @@
 """Document scores of a gated recurrent language model that learns from the whole corpus.
 
 1. Texts become blocks of bounded size: local word numbers per document, and the block's distinct words with
-   their training counts. That is written once; everything after works on it.
-2. Words of all blocks are counted together (a shuffle of block vocabularies, not of tokens), and each block
-   gets the exact count of each of its words back.
+   their training counts. That is written once.
+2. Words of all blocks are counted together (a shuffle of block vocabularies, not of tokens). The words that most
+   blocks have - at most ``COMMON_WORDS``, none longer than ``COMMON_BYTES`` - are counted by partial sums and
+   their counts broadcast, so no task gets a row of a common word from every block; all others meet by word once.
+   Each block gets the code and the exact count of each of its words back, as packed arrays, and is written as one
+   row that training and scoring read without another exchange.
 3. The network (see ``gru``) starts from one block, ``seed_passes`` times over - a bounded beginning - and is
-   then trained on the training documents of every block, a task for each; the blocks' weights are averaged,
+   then trained on the training documents of every block, each by itself; the blocks' weights are averaged,
    weighted by tokens, in two steps of sums. Only the averaged weights, of fixed size, reach the driver.
 4. Every block is scored, states carried through whole documents.
 
-Memory is bounded by the block; no vocabulary is broadcast but the head words, whose number is fixed.
+The probability of a word outside the head, given its class, comes from discounted counts. What they leave goes
+to words never seen in training, spelled from their end by a Markov chain over the bytes of the distinct training
+words: the last two bytes given the class, then each byte given the three after it. The spellings of all words
+of a class add up to one, so all words together have no more than one.
+
+Memory is bounded by the block; no vocabulary is broadcast but the common words, whose number and size are bounded.
 
 Defined results: null and empty texts are the end token alone; rows with a null id are scored and held out
 of training; repeated rows count each. Blocks follow the partitions read, so weights - not counts or base
@@ -33,29 +41,36 @@ from .common import crc_mod, staged, text_rows
 BLOCK_BYTES = 6 << 20
 #: Words never hold white space, so this can stand for the end.
 END_WORD = b" "
-SEED_RATE, RATE = 3e-3, 1.5e-3
+SEED_RATE, RATE, SEED_PASSES = 6e-3, 3e-3, 8
 CHUNK = 2048
-_TOKENS = "block long, id long, held boolean, ids binary, local int, word binary, c long, cls int"
+#: Words that are counted by partial sums and broadcast, from the most frequent ones of every block.
+COMMON_WORDS, COMMON_BYTES, BLOCK_COMMON = 131_072, 64, 16_384
+#: Codes that a task gathers before it packs them by block.
+GATHER_ROWS = 1 << 20
+_TOKENS = "block long, id long, held boolean, ids binary, local int, word binary, c long, cls int, common boolean"
+_CODES = "block long, locals binary, codes binary, counts binary, unseen array<int>, words array<binary>"
+_BLOCK = "block long, id array<long>, held array<boolean>, ids array<binary>, codes binary, counts binary, unseen array<int>, words array<binary>"
 _PARTS = "chunk int, part int, weight double, total binary"
 
 
-def packed(ids: np.ndarray) -> bytes:
-    """Numbers below 2**32 as planes of bytes, compressed; planes of zeros at the end are left out."""
-    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    used = 1 + max([0, *(k for k in range(4) if planes[k].any())])
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 0 and more as planes of bytes, compressed; planes of zeros at the end are left out."""
+    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T
+    used = 1 + max([0, *(k for k in range(8) if planes[k].any())])
     return used.to_bytes(1, "big") + zstd.compress(np.ascontiguousarray(planes[:used]).tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstd.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 4), np.uint8)
+    width = 4 if data[0] < 4 else 8
+    out = np.zeros((planes.shape[1], width), np.uint8)
     out[:, : data[0]] = planes.T
-    return out.view("<i4").ravel()
+    return out.view("<i4" if width == 4 else "<i8").ravel()
 
 
 def _tokenise():
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32()]
-    names = ["block", "id", "held", "ids", "local", "word", "c", "cls"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.bool_()]
+    names = ["block", "id", "held", "ids", "local", "word", "c", "cls", "common"]
 
     def tokenise(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -66,18 +81,22 @@ def _tokenise():
         def flush():
             nonlocal number, size
             block = part << 24 | number
-            counts = np.zeros(len(vocab), np.int64)
+            counts, every = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
             for _, held, ids in rows:
+                n = np.bincount(unpacked(ids), minlength=len(vocab))
+                every += n
                 if not held:
-                    counts += np.bincount(unpacked(ids), minlength=len(vocab))
+                    counts += n
+            common = np.zeros(len(vocab), bool)
+            common[np.argpartition(-every, BLOCK_COMMON)[:BLOCK_COMMON] if len(every) > BLOCK_COMMON else slice(None)] = True
             n = len(rows)
             yield pa.record_batch([pa.array([block] * n, types[0]), pa.array([r[0] for r in rows], types[1]), pa.array([r[1] for r in rows], types[2]), pa.array([r[2] for r in rows], types[3]), *(pa.nulls(n, t) for t in types[4:])], names)
             words = list(vocab)
             for a in range(0, len(words), 50_000):
                 some = words[a : a + 50_000]
                 m = len(some)
-                cls = np.fromiter((zlib.crc32(w[-2:]) % gru.TAIL for w in some), np.int32, m)
-                yield pa.record_batch([pa.array([block] * m, types[0]), *(pa.nulls(m, t) for t in types[1:4]), pa.array(np.arange(a, a + m), types[4]), pa.array(some, types[5]), pa.array(counts[a : a + m], types[6]), pa.array(cls, types[7])], names)
+                cls = np.fromiter(map(word_class, some), np.int32, m)
+                yield pa.record_batch([pa.array([block] * m, types[0]), *(pa.nulls(m, t) for t in types[1:4]), pa.array(np.arange(a, a + m), types[4]), pa.array(some, types[5]), pa.array(counts[a : a + m], types[6]), pa.array(cls, types[7]), pa.array(common[a : a + m], types[8])], names)
             vocab.clear()
             vocab[END_WORD] = 0
             rows.clear()
@@ -110,22 +129,150 @@ class CorpusCounts:
             self.tail_total[cls], self.tail_types[cls] = total, types
 
     def tail_log(self, cls: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """ln P(word | tail class): discounted counts; what they leave goes to words never seen."""
+        """ln P(word | tail class) of seen words by discounted counts; of unseen ones what is left for all of them."""
         seen = np.where(c > 0, c - gru.DISCOUNT, gru.DISCOUNT * self.tail_types[cls] + 1)
         return np.log(seen / (self.tail_total[cls] + 1))
 
 
-def _block(tokens, codes):
-    """Of one block: documents' ids and held flags, their lengths, all local numbers, and code and count per local word."""
-    ids = [unpacked(x) for x in tokens.column("ids").to_pylist()]
-    lengths = np.array([len(x) for x in ids], np.int64)
-    local = codes.column("local").to_numpy()
-    code, c = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
-    code[local] = codes.column("code").to_numpy()
-    if "c" in codes.column_names:  # training does without
-        c[local] = codes.column("c").to_numpy()
-    held = np.array(tokens.column("held").to_pylist(), bool)
-    return tokens.column("id"), held, lengths, np.concatenate(ids) if ids else np.zeros(0, np.int32), code, c
+def word_class(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % gru.TAIL
+
+
+#: Contexts of two and of three bytes are hashed into this many rows; a row's counts weigh against KAPPA of the shorter context.
+CONTEXTS, KAPPA, PAIR_SMOOTHING = (2048, 8192), 2.0, 0.1
+_MARK = 256  # what stands before a word's first byte
+_SHAPES = ((256, 257), (257, 257), (CONTEXTS[0], 257), (CONTEXTS[1], 257))
+_SIZES = [a * b for a, b in _SHAPES]
+
+
+def _spelled(words: list[bytes]):
+    """Of the words' bytes from their ends, with the mark: places of last pairs and of later bytes in the tables, and the later bytes' places."""
+    points = np.full(sum(map(len, words)) + len(words) + 1, _MARK, np.int64)
+    inside = np.repeat(True, len(points))
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
+    inside[np.concatenate([[0], ends])] = False
+    points[inside] = np.frombuffer(b"".join(words), np.uint8)
+    points = points[::-1]  # the last word comes first, from its end to the mark before it
+    start = np.flatnonzero(points[:-1] == _MARK) + 1  # last bytes
+    later = np.ones(len(points), bool)
+    later[0], later[start], later[start + 1] = False, False, False
+    at = np.flatnonzero(later)
+    a, b, c, x = points[at - 1], points[at - 2], points[at - 3], points[at]
+    two = (a * 0x9E3779B1 + b * 0x85EBCA77 >> 7) % CONTEXTS[0]
+    three = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D >> 9) % CONTEXTS[1]
+    return points[start] * 257 + points[start + 1], (a, two, three), x, start, at
+
+
+def spelling_counts(words: list[bytes]) -> np.ndarray:
+    """All tables end to end: pairs of a last byte and the one before, and bytes by the one, two and three bytes after them."""
+    pair, contexts, x, _, _ = _spelled(words)
+    cells = [pair, *(k * 257 + x for k in contexts)]
+    return np.concatenate([np.bincount(c, minlength=n) for c, n in zip(cells, _SIZES, strict=True)])
+
+
+class Speller:
+    """P(word | its class, a word never seen), from ``spelling_counts``."""
+
+    def __init__(self, counts: np.ndarray):
+        tables = [t.reshape(s).astype(np.float32) for t, s in zip(np.split(counts, np.cumsum(_SIZES)[:-1]), _SHAPES, strict=True)]
+        pairs = tables[0].astype(np.float64) + PAIR_SMOOTHING
+        cls = np.array([[word_class(bytes([b, a]) if b != _MARK else bytes([a])) for b in range(257)] for a in range(256)])
+        self.log_pair = np.log(pairs / np.bincount(cls.ravel(), pairs.ravel(), gru.TAIL)[cls]).ravel()
+        self.tables = tables[1:]
+        self.totals = [t.sum(1, dtype=np.float64) for t in self.tables]
+
+    def log_probs(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        pair, contexts, x, start, at = _spelled(words)
+        p = np.full(len(x), 1 / 257)
+        for rows, table, total in zip(contexts, self.tables, self.totals, strict=True):
+            p = (table[rows, x] + KAPPA * p) / (total[rows] + KAPPA)
+        each = np.zeros(int(start[-1]) + len(words[0]) + 1)
+        each[at], each[start] = np.log(p), self.log_pair[pair]
+        return np.add.reduceat(each, start)[::-1]
+
+
+_PIECE_WORDS = 100_000
+
+
+def _count_spellings(batches):
+    total, held, rows = np.zeros(sum(_SIZES), np.int64), [], 0
+    for batch in batches:
+        held += batch.column("word").to_pylist()
+        if len(held) >= _PIECE_WORDS:
+            total += spelling_counts(held)
+            held = []
+        rows += batch.num_rows
+    if held:
+        total += spelling_counts(held)
+    if rows:
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([packed(total)], pa.binary())], ["part", "counts"])
+
+
+def _add_spellings(key, table):
+    total = np.zeros(sum(_SIZES), np.int64)
+    for x in table.column("counts"):
+        total += unpacked(x.as_py())
+    return pa.table({"part": pa.array([0], pa.int32()), "counts": pa.array([packed(total)], pa.binary())})
+
+
+def fit_speller(words: DataFrame) -> Speller:
+    """From all of ``words`` (word binary): tables of fixed size, summed in two steps."""
+    made = "part int, counts binary"
+    summed = words.select("word").mapInArrow(_count_spellings, made).groupBy("part").applyInArrow(_add_spellings, made).groupBy("part").applyInArrow(_add_spellings, made)
+    found = summed.collect()  # at most one row
+    return Speller(unpacked(found[0].counts) if found else np.zeros(sum(_SIZES), np.int64))
+
+
+def _gather(batches):
+    """Codes packed by block: in a task's order, at most GATHER_ROWS at once."""
+    held: list = []
+    rows = 0
+
+    def flush():
+        block, local, code, c = (np.concatenate([h[k] for h in held]) for k in range(4))
+        words = [w for h in held for w in h[4]]
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+        cols: list[list] = [[] for _ in range(6)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = order[a:b]
+            own = own[np.argsort(local[own], kind="stable")]
+            lost = own[c[own] == 0]
+            for col, v in zip(cols, (int(block[a]), packed(local[own]), packed(code[own]), packed(c[own]), local[lost], [words[i] for i in lost]), strict=True):
+                col.append(v)
+        held.clear()
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
+        return pa.record_batch([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["block", "locals", "codes", "counts", "unseen", "words"])
+
+    for batch in batches:
+        held.append((*(batch.column(c).to_numpy() for c in ("block", "local", "code", "c")), batch.column("word").to_pylist()))
+        rows += batch.num_rows
+        if rows >= GATHER_ROWS:
+            yield flush()
+            rows = 0
+    if rows:
+        yield flush()
+
+
+def _assemble(key, tokens, codes):
+    """One row for a block: its documents, and code and count by local number."""
+    parts = [[unpacked(x) for x in codes.column(c).to_pylist()] for c in ("locals", "codes", "counts")]
+    local, code, c = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in parts)
+    order = np.argsort(local)
+    unseen = [i for x in codes.column("unseen").to_pylist() for i in x]
+    words = [w for x in codes.column("words").to_pylist() for w in x]
+    values = (key[0].as_py(), tokens.column("id").to_pylist(), tokens.column("held").to_pylist(), tokens.column("ids").to_pylist(), packed(code[order]), packed(c[order]), unseen, words)
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())]
+    return pa.table([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["block", "id", "held", "ids", "codes", "counts", "unseen", "words"])
+
+
+def _documents(row: dict):
+    """Of a block's row: held flags, lengths and all local numbers of its documents, and the code of each local number."""
+    ids = [unpacked(x) for x in row["ids"]]
+    return np.array(row["held"], bool), np.array([len(x) for x in ids], np.int64), np.concatenate(ids), unpacked(row["codes"]).astype(np.int64)
 
 
 def _weights_out(flat: np.ndarray, part: int, weight: float):
@@ -135,14 +282,13 @@ def _weights_out(flat: np.ndarray, part: int, weight: float):
 
 
 def _train(held_weights, rate: float, passes: int):
-    def train(key, tokens, codes):
-        flat = held_weights.value
-        if not tokens.num_rows:
-            return _weights_out(flat, 0, 0.0)
-        _, held, lengths, ids, code, _ = _block(tokens, codes)
-        use = np.repeat(~held, lengths)
-        flat = gru.train(flat, code[ids[use]], lengths[~held], rate, passes)
-        return _weights_out(flat, key[0].as_py() % 64, float(use.sum()))
+    def train(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                held, lengths, ids, code = _documents(row)
+                use = np.repeat(~held, lengths)
+                flat = gru.train(held_weights.value, code[ids[use]], lengths[~held], rate, passes)
+                yield from _weights_out(flat, row["block"] % 64, float(use.sum())).to_batches()
 
     return train
 
@@ -164,64 +310,90 @@ def _average(parts: DataFrame, fallback: np.ndarray) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.total) / r.weight for r in rows]).astype(np.float32)
 
 
-def _score(held_weights, held_counts):
-    def score(key, tokens, codes):
-        counts = held_counts.value
-        out_ids, held, lengths, ids, code, c = _block(tokens, codes)
-        base = np.log10((c + 1) / (counts.n + counts.v + 1))
-        tail = np.where(code >= gru.HEAD, counts.tail_log(np.maximum(code - gru.HEAD, 0), c), 0.0)
-        lp = gru.log_likelihood(held_weights.value, code[ids], lengths) + tail[ids]
-        at = np.cumsum(lengths) - lengths
-        sums = lambda v: np.add.reduceat(v, at) if len(at) else np.zeros(0)  # noqa: E731  every document has its end token
-        return pa.table(
-            {
-                "id": out_ids, "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(lengths, pa.int64()), "n_known": pa.array(sums((c > 0).astype(np.int64)[ids]), pa.int64()),
-                "train_tokens": pa.array([counts.n] * len(lengths), pa.int64()), "base_score": pa.array(sums(base[ids]), pa.float64()), "score": pa.array(sums(lp) / np.log(10), pa.float64()),
-            }
-        )
+def _score(held_model):
+    def score(batches):
+        model = held_model.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                held, lengths, ids, code = _documents(row)
+                c = unpacked(row["counts"]).astype(np.int64)
+                base = np.log10((c + 1) / (model.corpus.n + model.corpus.v + 1))
+                tail = np.where(code >= gru.HEAD, model.corpus.tail_log(np.maximum(code - gru.HEAD, 0), c), 0.0)
+                tail[row["unseen"]] += model.speller.log_probs(row["words"])
+                lp = gru.log_likelihood(model.weights, code[ids], lengths) + tail[ids]
+                at = np.cumsum(lengths) - lengths  # every document has its end token
+                yield pa.record_batch(
+                    [
+                        pa.array(row["id"], pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64)[ids], at), pa.int64()),
+                        pa.array([model.corpus.n] * len(lengths), pa.int64()), pa.array(np.add.reduceat(base[ids], at), pa.float64()), pa.array(np.add.reduceat(lp, at) / np.log(10), pa.float64()),
+                    ],
+                    ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     return score
 
 
-def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", seed_passes: int = 2) -> DataFrame:
-    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``held_out``: condition on the column ``id``."""
+class LanguageModel:
+    """Weights, corpus counts, head words and spelling: all of fixed size."""
+
+    def __init__(self, weights: np.ndarray, corpus: CorpusCounts, head_words: list[bytes], speller: Speller):
+        self.weights, self.corpus, self.head_words, self.speller = weights, corpus, head_words, speller
+
+
+def coded_words(vocab: DataFrame) -> DataFrame:
+    """``vocab`` (block, local, word, c, cls, common) as ``block, local, word, cls, n, lead``: a word's training count, and one row of each word marked."""
+    short = F.octet_length("word") <= COMMON_BYTES
+    common = vocab.where(F.col("common") & short).groupBy("word").agg(F.count("*").alias("blocks")).orderBy(F.col("blocks").desc(), "word").limit(COMMON_WORDS)
+    common = staged(common.select("word"), "lm-common")
+    summed = vocab.join(F.broadcast(common), "word", "left_semi").groupBy("word").agg(F.sum("c").alias("n"), F.min(F.struct("block", "local")).alias("at"))
+    summed = staged(summed, "lm-common-counts")
+    here = vocab.join(F.broadcast(summed), "word").select("block", "local", "word", "cls", "n", (F.struct("block", "local") == F.col("at")).alias("lead"))
+    # A block names a word once, and what is left are words that few blocks have: one exchange by word serves.
+    of_word = Window.partitionBy("word")
+    first = F.row_number().over(of_word.orderBy("block", "local")) == 1
+    rest = vocab.join(F.broadcast(common), "word", "left_anti").select("block", "local", "word", "cls", F.sum("c").over(of_word).alias("n"), first.alias("lead"))
+    return here.unionByName(rest)
+
+
+def fit_language_model(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", seed_passes: int = SEED_PASSES) -> tuple[LanguageModel, DataFrame]:
+    """The model and the coded blocks of all documents; ``held_out``: condition on the column ``id``."""
     spark = docs.sparkSession
     rows = text_rows(docs, id_col, text_col).withColumn("held", F.coalesce(held_out, F.lit(True)))
     made = staged(rows.mapInArrow(_tokenise(), _TOKENS), "lm-tokens")
     tokens = made.where("ids is not null").select("block", "id", "held", "ids")
-    vocab = made.where("word is not null").select("block", "local", "word", "c", "cls")
-    # A block names a word once, so of all rows a word has no more than one for each block: one exchange by word serves.
-    of_word = Window.partitionBy("word")
-    first_block = F.row_number().over(of_word.orderBy("block", "local")) == 1
-    every = staged(vocab.select("block", "local", "word", "cls", F.sum("c").over(of_word).alias("n"), first_block.alias("lead")), "lm-words")
+    vocab = made.where("word is not null").select("block", "local", "word", "c", "cls", "common")
+    every = staged(coded_words(vocab), "lm-words")
     counts = every.where("lead").select("word", F.col("n").alias("c"), "cls")
     total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # The head: a fixed number of words.
-    head = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END_WORD))).orderBy(F.col("c").desc(), "word").limit(gru.HEAD - 1).select("word", "c").collect()
+    # The head: a fixed number of words of bounded size.
+    short = (F.col("c") > 0) & (F.col("word") != F.lit(END_WORD)) & (F.octet_length("word") <= COMMON_BYTES)
+    head = counts.where(short).orderBy(F.col("c").desc(), "word").limit(gru.HEAD - 1).select("word", "c").collect()
     end = counts.where(F.col("word") == F.lit(END_WORD)).select("c").first()
     head_words = [(END_WORD, end.c if end else 0), *((bytes(r.word), r.c) for r in head)]
     heads = spark.createDataFrame([(bytearray(w), i) for i, (w, _) in enumerate(head_words)], "word binary, head int")
-    tail = counts.join(F.broadcast(heads), "word", "left_anti").where("c > 0").groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()
+    outside = counts.join(F.broadcast(heads), "word", "left_anti").where("c > 0")
+    tail = outside.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("types")).collect()
     corpus = CorpusCounts(int(total[0]), int(total[1]), head_words, [(r.cls, r.c, r.types) for r in tail])
-    codes = every.join(F.broadcast(heads), "word", "left").select("block", "local", F.coalesce("head", F.col("cls") + gru.HEAD).alias("code"), F.col("n").alias("c"))
-
-    def grouped(*more: str, condition=None):
-        t, v = (tokens, codes) if condition is None else (tokens.where(condition), codes.where(condition))
-        return t.groupBy("block").cogroup(v.select(F.col("block").alias("vblock"), "local", "code", *more).groupBy("vblock"))
-
+    speller = fit_speller(outside)
+    code = F.coalesce("head", F.col("cls") + gru.HEAD).cast("int").alias("code")
+    codes = every.join(F.broadcast(heads), "word", "left").select("block", "local", code, F.col("n").alias("c"), F.when(F.col("n") == 0, F.col("word")).alias("word"))
+    gathered = codes.mapInArrow(_gather, _CODES).withColumnRenamed("block", "vblock")
+    blocks = staged(tokens.groupBy("block").cogroup(gathered.groupBy("vblock")).applyInArrow(_assemble, _BLOCK), "lm-blocks")
+    learned = blocks.where(F.exists("held", lambda h: ~h)).select("block", "held", "ids", "codes")
     weights = gru.initial(corpus.head_counts, corpus.tail_total)
-    first = tokens.where("not held").agg(F.min("block")).first()[0]
+    first = learned.agg(F.min("block")).first()[0]
     if first is not None:
         start = spark.sparkContext.broadcast(weights)
-        seeded = grouped(condition=F.col("block") == first).applyInArrow(_train(start, SEED_RATE, seed_passes), _PARTS)
-        weights = _average(seeded, weights)
+        weights = _average(learned.where(F.col("block") == first).mapInArrow(_train(start, SEED_RATE, seed_passes), _PARTS), weights)
         start = spark.sparkContext.broadcast(weights)
-        weights = _average(grouped().applyInArrow(_train(start, RATE, 1), _PARTS), weights)
-    found = grouped("c").applyInArrow(
-        _score(spark.sparkContext.broadcast(weights), spark.sparkContext.broadcast(corpus)),
-        "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
-    return found
+        weights = _average(learned.mapInArrow(_train(start, RATE, 1), _PARTS), weights)
+    return LanguageModel(weights, corpus, [w for w, _ in head_words], speller), blocks
+
+
+def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", seed_passes: int = SEED_PASSES) -> DataFrame:
+    """``id, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``held_out``: condition on the column ``id``."""
+    model, blocks = fit_language_model(docs, held_out, id_col, text_col, seed_passes)
+    return blocks.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_gru_language_model(spark, sf_dir: str) -> DataFrame:
