@@ -16,8 +16,8 @@ HEAD, CLASS_WORDS, TAIL = 1024, 64, 48
 HEAD_CLASSES = HEAD // CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL
 HIDDEN = 16
-#: Tokens of a window of backpropagation, and documents side by side.
-WINDOW, LANES = 16, 256
+#: Tokens of a window of backpropagation, and documents side by side; where fewer go on, windows get longer, up to a bound.
+WINDOW, LANES, LONGEST_WINDOW = 16, 256, 128
 END = 0
 DISCOUNT = 0.75
 
@@ -84,12 +84,15 @@ class Streams:
         self.x[self.first] = END
 
     def windows(self, width: int):
-        """(places, valid) of each window: arrays of (width, lanes that are still going on)."""
-        for t in range(0, int(self.size[0]) if len(self.size) else 0, width):
+        """(places, valid) of each window: arrays of (steps, lanes that are still going on), of nearly as many tokens each."""
+        t, lanes = 0, len(self.size)
+        while lanes and t < int(self.size[0]):
             m = int(np.searchsorted(-self.size, -t, side="left"))
-            step = np.arange(t, t + width)[:, None]
+            steps = min(max(width, LONGEST_WINDOW), width * lanes // m, int(self.size[0]) - t)
+            step = np.arange(t, t + steps)[:, None]
             valid = step < self.size[:m]
             yield self.at[:m] + np.minimum(step, self.size[:m] - 1), valid
+            t += steps
 
 
 def _recur(p, x: np.ndarray, first: np.ndarray, h: np.ndarray, tape: list | None):
@@ -208,14 +211,14 @@ def train(flat: np.ndarray, codes: np.ndarray, lengths: np.ndarray, rate: float,
     p = views(flat)
     lanes = int(np.clip(int(lengths.sum()) // (WINDOW * 40), 8, LANES))
     streams, adam = Streams(codes, lengths, lanes), Adam(SIZE)
-    total = -(-int(streams.size[0]) // WINDOW) * passes
+    total = int(lengths.sum()) * passes
     g = np.zeros(SIZE, np.float32)
     grads, done = views(g), 0
     for _ in range(passes):
         h = np.zeros((len(streams.size), HIDDEN), np.float32)
         for places, valid in streams.windows(WINDOW):
             m = places.shape[1]
-            done += 1
+            done += int(valid.sum())
             g[:] = 0
             _, h = window_gradient(p, grads, streams.x[places], streams.y[places], streams.first[places], valid, h[:m])
             adam.step(flat, g, rate * (1 - 0.9 * done / total) * min(1.0, valid.sum() / (0.25 * WINDOW * lanes)))

@@ -7,8 +7,8 @@
    their counts broadcast, so no task gets a row of a common word from every block; all others meet by word once.
    Each block gets the code and the exact count of each of its words back, as packed arrays, and is written as one
    row that training and scoring read without another exchange.
-3. The network (see ``gru``) starts from one block, ``seed_passes`` times over - a bounded beginning - and is
-   then trained on the training documents of every block, each by itself; the blocks' weights are averaged,
+3. The network (see ``gru``) starts from about ``SEED_TOKENS`` tokens, ``seed_passes`` times over, and is then
+   trained on the training documents of every block, each by itself; the blocks' weights are averaged,
    weighted by tokens, in two steps of sums. Only the averaged weights, of fixed size, reach the driver.
 4. Every block is scored, states carried through whole documents.
 
@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 from . import gru
 from .common import crc_mod, staged, text_rows
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 16 << 20
 #: Words never hold white space, so this can stand for the end.
 END_WORD = b" "
 SEED_RATE, RATE, SEED_PASSES = 6e-3, 3e-3, 8
+#: Tokens of the block that the network starts from; after this it is trained on every block as a whole.
+SEED_TOKENS = 300_000
 CHUNK = 2048
 #: Words that are counted by partial sums and broadcast, from the most frequent ones of every block.
 COMMON_WORDS, COMMON_BYTES, BLOCK_COMMON = 131_072, 64, 16_384
@@ -281,11 +283,15 @@ def _weights_out(flat: np.ndarray, part: int, weight: float):
     return pa.table({"chunk": pa.array(range(n), pa.int32()), "part": pa.array([part] * n, pa.int32()), "weight": pa.array([weight] * n, pa.float64()), "total": pa.array([x.tobytes() for x in pieces], pa.binary())})
 
 
-def _train(held_weights, rate: float, passes: int):
+def _train(held_weights, rate: float, passes: int, most: int | None = None):
+    """Train on the training documents of each block; ``most``: on the first of them, up to this many tokens and one document."""
+
     def train(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 held, lengths, ids, code = _documents(row)
+                if most is not None:
+                    held = held | (np.cumsum(np.where(held, 0, lengths)) - np.where(held, 0, lengths) >= most)
                 use = np.repeat(~held, lengths)
                 flat = gru.train(held_weights.value, code[ids[use]], lengths[~held], rate, passes)
                 yield from _weights_out(flat, row["block"] % 64, float(use.sum())).to_batches()
@@ -384,7 +390,7 @@ def fit_language_model(docs: DataFrame, held_out, id_col: str = "doc_id", text_c
     first = learned.agg(F.min("block")).first()[0]
     if first is not None:
         start = spark.sparkContext.broadcast(weights)
-        weights = _average(learned.where(F.col("block") == first).mapInArrow(_train(start, SEED_RATE, seed_passes), _PARTS), weights)
+        weights = _average(learned.where(F.col("block") == first).mapInArrow(_train(start, SEED_RATE, seed_passes, SEED_TOKENS), _PARTS), weights)
         start = spark.sparkContext.broadcast(weights)
         weights = _average(learned.mapInArrow(_train(start, RATE, 1), _PARTS), weights)
     return LanguageModel(weights, corpus, [w for w, _ in head_words], speller), blocks
