@@ -7,9 +7,12 @@ the disclosure of e by t is the share of the entity's information that the term
 
     D(e; t) = PMI(e; t) / IC(e) = (log N + log n(e, t) - log n(t) - log n(e)) / (log N - log n(e))
 
-A term at ``GENERALISE_AT`` or more is replaced by a general word in that entity's lines, at ``REMOVE_AT`` or
-more it is removed. It must be seen with the entity in ``SUPPORT`` different line texts, so copies of one
-line prove nothing.
+A term at ``GENERALISE_AT`` or more is generalised in that entity's lines, at ``REMOVE_AT`` or more it is removed.
+It must be seen with the entity in ``SUPPORT`` different line texts, so copies of one line prove nothing.
+
+The general term comes from the corpus, too, by the rule of subsumption: a term that stands in at least ``SUBSUMES``
+of the entity's lines is broader than what stands in some of them. Of those whose own disclosure is below
+``GENERALISE_AT`` the most telling one is taken (ties: the first by name); without any, the entity's kind.
 
 Defined results: null and empty texts have no spans; rows with null or repeated ids are separate rows; an
 empty table gives an empty result. Positions are code points, ends exclusive.
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_rows
 
-GENERALISE_AT, REMOVE_AT, SUPPORT = 0.90, 0.98, 3
+GENERALISE_AT, REMOVE_AT, SUPPORT, SUBSUMES = 0.90, 0.98, 3, 0.8
 #: Candidate terms up to which they are sent to all tasks (checked by a count); more are joined after aggregation.
 BROADCAST_TERMS = 50_000
 
@@ -92,9 +95,13 @@ def _entity(kind: str, m: Column) -> Column:
     return F.concat(F.lit(kind + ":"), F.lower(m) if kind == "email" else m if kind == "ip" else _digits(m))
 
 
-def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, seq, spans``: each base span with kind, place, entity, and its line with the line's start."""
-    rows = text_rows(docs, id_col, text_col).withColumn("seq", F.monotonically_increasing_id())
+def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_col: str | None = None) -> DataFrame:
+    """``id, seq, spans``: each base span with kind, place, entity, and its line with the line's start.
+
+    ``seq_col``: distinct longs that tell the rows apart; without it they are numbered.
+    """
+    seq = F.col(seq_col) if seq_col else F.monotonically_increasing_id()
+    rows = text_rows(docs, id_col, text_col, seq.alias("_seq")).withColumnRenamed("_seq", "seq")
     rows = rows.select("id", "seq", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
 
     def full(kind):
@@ -110,7 +117,7 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, at: float = GENERALISE_AT) -> DataFrame:
-    """``entity, term, disclosure`` of all pairs at or above the threshold; counts cover every line of every text."""
+    """``entity, term, disclosure, general`` of all pairs at or above the threshold; counts cover every line of every text."""
     text = text_rows(docs, id_col, text_col)
     bare = F.col("line")
     for k in KINDS:
@@ -137,39 +144,51 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, id_col: str = "doc_id", t
     n = F.log(F.greatest(F.lit(total), F.lit(1.0)))
     worth = n - log("n_e")
     d = F.when(worth > 0, (n + log("n_et") - log("n_t") - log("n_e")) / worth).otherwise(0.0)
-    return scored.select("entity", "term", d.alias("disclosure")).where(F.col("disclosure") >= at)
+    scored = staged(scored.select("entity", "term", d.alias("disclosure"), (F.col("n_et") >= SUBSUMES * F.col("n_e")).alias("broad")), "privacy-scored")
+    broad = scored.where(F.col("broad") & (F.col("disclosure") < at)).groupBy("entity").agg(F.min(F.struct((-F.col("disclosure")).alias("d"), "term")).alias("b"))
+    kind = F.concat(F.lit("["), F.substring_index("entity", ":", 1), F.lit("]"))
+    found = scored.where(F.col("disclosure") >= at).join(broad.select("entity", F.col("b.term").alias("general")), "entity", "left")
+    return found.select("entity", "term", "disclosure", F.coalesce("general", kind).alias("general"))
 
 
 def find_terms(base: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """``seq, terms``: the places of disclosing terms in the lines of the entities that they give away."""
+    """``seq, terms``: the places of disclosing terms in the lines of the entities that they give away.
+
+    A term that gives several entities of its line away follows the one that it discloses most.
+    """
     lines = base.select("seq", F.explode("spans").alias("x")).select("seq", "x.entity", "x.line_start", "x.line").distinct()
     lines = lines.join(disclosing.select("entity").distinct(), "entity", "left_semi")
     tokens = lines.select("seq", "entity", "line_start", F.explode(located(F.col("line"), _WORD)).alias("t"))
     tokens = tokens.select("seq", "entity", F.lower("t.m").alias("term"), (F.col("line_start") + F.col("t.s")).alias("s"), (F.col("line_start") + F.col("t.e")).alias("e"))
-    hits = tokens.join(disclosing, ["entity", "term"]).groupBy("seq", "s", "e").agg(F.max("disclosure").alias("d"))
-    return hits.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("s", "e", "d"))).alias("terms"))
+    hits = tokens.join(disclosing, ["entity", "term"]).groupBy("seq", "s", "e").agg(F.max(F.struct("disclosure", "entity", "general")).alias("x"))
+    return hits.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("s", "e", F.col("x.disclosure").alias("d"), F.col("x.general").alias("general")))).alias("terms"))
+
 
+_TERMS = "array<struct<s:int,e:int,d:double,general:string>>"
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """``id, seq, spans, terms``: base spans and, apart from them, the disclosing terms."""
-    base = staged(find_base(docs, id_col, text_col), "privacy-base")
+
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_col: str | None = None, **limits) -> DataFrame:
+    """``id, seq, spans, terms``: base spans and, apart from them, the disclosing terms with what would stand for them."""
+    base = staged(find_base(docs, id_col, text_col, seq_col), "privacy-base")
     disclosing = staged(disclosing_terms(docs, base, id_col, text_col, **limits), "privacy-disclosing")
     terms = find_terms(base, disclosing)
     found = base.join(terms, "seq", "left")
-    none = F.array().cast("array<struct<s:int,e:int,d:double>>")
-    apart = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+    apart = F.filter(F.coalesce("terms", F.array().cast(_TERMS)), lambda t: ~F.exists("spans", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
     return found.select("id", "seq", "spans", apart.alias("terms"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = REMOVE_AT, **limits) -> DataFrame:
-    """``id, text``: base spans become their kind in brackets; terms become ``[term]`` or nothing.
+def replacement(t: Column, remove_at: float = REMOVE_AT) -> Column:
+    """What stands for a disclosing term: nothing, or the general term."""
+    return F.when(t["d"] >= remove_at, F.lit("")).otherwise(t["general"])
 
-    Rows are matched by id, so ids must be distinct and not null here.
-    """
-    found = find_personal(docs, id_col, text_col, **limits)
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_at: float = REMOVE_AT, **limits) -> DataFrame:
+    """``id, text``, a row for every row: base spans become their kind in brackets; terms are generalised or removed."""
+    rows = staged(text_rows(docs, id_col, text_col).withColumn("seq", F.monotonically_increasing_id()), "privacy-in")
+    found = find_personal(rows, "id", "text", "seq", **limits)
     base = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), x["kind"], F.lit("]")).alias("r")))
-    terms = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["d"] >= remove_at, F.lit("")).otherwise(F.lit("[term]")).alias("r")))
-    rows = text_rows(docs, id_col, text_col).join(found.select("id", F.sort_array(F.concat(base, terms)).alias("cuts")), "id")
+    terms = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), replacement(x, remove_at).alias("r")))
+    rows = rows.join(found.select("seq", F.sort_array(F.concat(base, terms)).alias("cuts")), "seq")
 
     def step(acc, x):
         keep = F.substring(F.col("text"), acc["p"] + 1, x["s"] - acc["p"])
@@ -184,5 +203,7 @@ def op10_pii_disclosure(spark, sf_dir: str) -> DataFrame:
     found = find_personal(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     named = F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string")))
     terms = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["s"].cast("string"), x["e"].cast("string")))
+    # start:end:remove, or start:end:generalise:word
+    actions = F.transform("terms", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"), F.when(replacement(x) == "", "remove").otherwise(F.concat(F.lit("generalise:"), replacement(x)))))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select(F.col("id").alias("doc_id"), *(count(k) for k in KINDS), F.sha2(F.array_join(named, ","), 256).alias("base_sha256"), F.array_join(F.concat(named, terms), ",").alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *(count(k) for k in KINDS), F.sha2(F.array_join(named, ","), 256).alias("base_sha256"), F.array_join(F.concat(named, terms), ",").alias("spans"), F.array_join(actions, ",").alias("actions"))
