@@ -2,7 +2,8 @@
 
 Writing: fixed predictors of order 0 to 2 and a quantised linear predictor compete for each frame, the
 residual goes into four Rice partitions with their own parameter; constant and verbatim subframes where
-they are shorter. A seek table has a point for every frame.
+they are shorter. The seek table has a point for every frame, or for as many evenly spaced ones as a table can hold.
+Reading needs no table: without a point for every frame, frames are found by their sync codes and checksums.
 
 Reading: the frames of all streams of a batch are decoded in lockstep - one residual of every frame per
 numpy step - which makes the unary part of the Rice codes a vector operation. Frame headers are held
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from functools import lru_cache
+from bisect import bisect_right
 
 import numpy as np
 
@@ -276,11 +278,15 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + md5
         points = np.zeros(a1 - a0, np.dtype([("s", ">u8"), ("o", ">u8"), ("n", ">u2")]))
         points["s"], points["o"], points["n"] = number[a0:a1] * BLOCK, at[a0:a1] - at[a0], n[a0:a1]
-        table = points.tobytes()
+        table = points[:: -(-len(points) // MAX_POINTS)].tobytes()
         streams.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + body)
     return streams
 
 
+#: Seek points that a metadata block of 24 bits of length has room for.
+MAX_POINTS = ((1 << 24) - 1) // 18
+
+
 class Stream:
     """Metadata of one stream: total samples, MD5, seek points and where the frames begin."""
 
@@ -305,9 +311,37 @@ class Stream:
         """Whether the seek table has a point for every frame."""
         return self.points is not None and len(self.points) > 0 and int(self.points["n"].astype(np.int64).sum()) == self.total
 
+    def frames(self, media: bytes) -> np.ndarray:
+        """First sample, offset behind the metadata and samples of every frame, from the table or else by a scan."""
+        if self.complete():
+            return self.points
+        buf = np.frombuffer(media, np.uint8)
+        maybe = np.flatnonzero((buf[self.frames_at : -1] == 0xFF) & (buf[self.frames_at + 1 :] & 0xFE == 0xF8)) + self.frames_at
+        heads = {}
+        for p in maybe.tolist():
+            try:
+                heads[p] = _parse_header(media, p)
+            except (FlacError, IndexError):
+                continue
+        places, found, at, sample = [*heads, len(media)], [], self.frames_at, 0
+        while at < len(media):
+            if at not in heads:
+                raise FlacError("no frame here")
+            # A frame goes up to the first place where another begins, or the end, with its checksum before it.
+            for end in places[bisect_right(places, at) :]:
+                if int(crc16_many(buf, np.array([at]), np.array([end - 2]))[0]) == int(buf[end - 2]) << 8 | int(buf[end - 1]):
+                    break
+            else:
+                raise FlacError("CRC-16 of a frame is wrong")
+            found.append((sample, at - self.frames_at, heads[at][2]))
+            at, sample = end, sample + heads[at][2]
+        if self.total and sample != self.total:
+            raise FlacError("the frames have another number of samples than the stream says")
+        return np.array(found, np.dtype([("s", ">u8"), ("o", ">u8"), ("n", ">u4")]))
+
 
-def _decode_frames(buf: np.ndarray, at: np.ndarray, end: np.ndarray, expect: np.ndarray) -> list[np.ndarray]:
-    """Samples of each frame buf[at:end], in lockstep over all of them; checks CRC-8, CRC-16 and block sizes."""
+def _decode_frames(buf: np.ndarray, at: np.ndarray, end: np.ndarray, expect: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+    """Samples of each frame buf[at:end], in lockstep over all of them; checks CRC-8, CRC-16, frame numbers and block sizes."""
     data = buf.tobytes()
     crc = crc16_many(buf, at, end - 2)
     if ((buf[end - 2].astype(np.int64) << 8 | buf[end - 1]) != crc).any():
@@ -316,6 +350,8 @@ def _decode_frames(buf: np.ndarray, at: np.ndarray, end: np.ndarray, expect: np.
     n = np.array([h[2] for h in heads], np.int64)
     if (n != expect).any():
         raise FlacError("a block has another size than its seek point says")
+    if (np.array([h[1] for h in heads], np.int64) != numbers).any():
+        raise FlacError("a frame is not in its place")
     padded = np.concatenate([buf, np.zeros(16, np.uint8)])
     window = np.ndarray((len(buf) + 8,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
 
@@ -445,43 +481,41 @@ def _decode_frames(buf: np.ndarray, at: np.ndarray, end: np.ndarray, expect: np.
 
 
 def decode_many(streams: list[bytes], check_md5: bool = True) -> list[bytes]:
-    """The payload of each stream. Streams need a seek point for each frame, as ``encode_many`` writes them."""
-    infos = [Stream(x) for x in streams]
-    at, end, expect = [], [], []
-    offset = 0
+    """The payload of each stream."""
+    at, end, expect, numbers = [], [], [], []
+    offset, infos = 0, [Stream(x) for x in streams]
     for media, info in zip(streams, infos, strict=True):
-        if not info.complete():
-            raise FlacError("the seek table lacks frames")
-        first = info.points["o"].astype(np.int64) + info.frames_at + offset
+        frames = info.frames(media)
+        first = frames["o"].astype(np.int64) + info.frames_at + offset
         at.append(first)
         end.append(np.append(first[1:], offset + len(media)))
-        expect.append(info.points["n"].astype(np.int64))
+        expect.append(frames["n"].astype(np.int64))
+        numbers.append(np.arange(len(frames)))
         offset += len(media)
     if not streams:
         return []
-    blocks = _decode_frames(np.frombuffer(b"".join(streams), np.uint8), np.concatenate(at), np.concatenate(end), np.concatenate(expect))
+    blocks = _decode_frames(np.frombuffer(b"".join(streams), np.uint8), *map(np.concatenate, (at, end, expect, numbers)))
     out, i = [], 0
     for info, mine in zip(infos, at, strict=True):
         signed = np.concatenate(blocks[i : i + len(mine)]).astype(np.int8).view(np.uint8)
         i += len(mine)
-        if check_md5 and hashlib.md5(signed.tobytes()).digest() != info.md5:
+        if check_md5 and info.md5 != bytes(16) and hashlib.md5(signed.tobytes()).digest() != info.md5:  # zeros: not known
             raise FlacError("the samples do not have the MD5 of the stream")
         out.append((signed ^ 128).tobytes())
     return out
 
 
 def read_samples(media: bytes, first: int, count: int) -> bytes:
-    """``count`` samples from ``first`` on, reading only the frames that hold them."""
+    """``count`` samples from ``first`` on, decoding only the frames that hold them."""
     info = Stream(media)
-    if not info.complete():
-        raise FlacError("the seek table lacks frames")
-    starts, sizes = info.points["s"].astype(np.int64), info.points["n"].astype(np.int64)
+    frames = info.frames(media)
+    starts, sizes = frames["s"].astype(np.int64), frames["n"].astype(np.int64)
     use = np.flatnonzero((starts < first + count) & (starts + sizes > first))
     if not len(use):
         return b""
-    at = info.points["o"].astype(np.int64) + info.frames_at
+    at = frames["o"].astype(np.int64) + info.frames_at
     ends = np.append(at[1:], len(media))
     lo, hi = at[use[0]], ends[use[-1]]
-    blocks = _decode_frames(np.frombuffer(media[lo:hi], np.uint8), at[use] - lo, ends[use] - lo, sizes[use])
+    blocks = _decode_frames(np.frombuffer(media[lo:hi], np.uint8), at[use] - lo, ends[use] - lo, sizes[use], use)
     pcm = (np.concatenate(blocks).astype(np.int8).view(np.uint8) ^ 128).tobytes()
     return pcm[max(0, first - starts[use[0]]) :][:count]

@@ -75,6 +75,7 @@ def to_flac(df: DataFrame, id_col: str = "doc_id", data_col: str = "text") -> Da
 
 def pcm_blocks(df: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """One row per PCM block: ``id, block, first_sample, n_samples, media_offset, pcm`` (unsigned bytes)."""
+    types = [*[pa.int64()] * 5, pa.binary()]
 
     def read(batches):
         for batch in batches:
@@ -84,8 +85,8 @@ def pcm_blocks(df: DataFrame, id_col: str = "id", media_col: str = "media") -> D
                 rows = []
                 for i, m, payload in zip(ids[g], media[g], flac.decode_many(media[g]), strict=True):
                     info = flac.Stream(m)
-                    rows += [(i, b, s, n, o + info.frames_at, payload[s : s + n]) for b, (s, o, n) in enumerate(info.points.tolist())]
-                yield pa.record_batch([pa.array(list(c)) for c in zip(*rows, strict=True)], ["id", "block", "first_sample", "n_samples", "media_offset", "pcm"])
+                    rows += [(i, b, s, n, o + info.frames_at, payload[s : s + n]) for b, (s, o, n) in enumerate(info.frames(m).tolist())]
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["id", "block", "first_sample", "n_samples", "media_offset", "pcm"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).where("media is not null")
     return rows.mapInArrow(read, "id long, block long, first_sample long, n_samples long, media_offset long, pcm binary")
@@ -103,11 +104,14 @@ def read_range(df: DataFrame, first: int, count: int, id_col: str = "id", media_
     return rows.mapInArrow(read, "id long, pcm binary")
 
 
-_DIGEST = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks long, seek_crc32 long"
 
 
 def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as FLAC, read the stored bytes back, and describe both."""
+    """Store every text as FLAC, read the stored bytes back as PCM blocks, and describe both.
+
+    ``blocks`` counts the blocks; ``seek_crc32`` is that of the block in the middle, read alone by its offset.
+    """
 
     def run(batches):
         for batch in batches:
@@ -116,13 +120,17 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for g in _groups(texts, READ_BYTES):
                 media = encode_all([padded(x) for x in texts[g]])
                 back = flac.decode_many(media)
+                frames = [flac.Stream(m).frames(m) for m in media]
+                middle = [f[len(f) // 2] for f in frames]
+                sought = [zlib.crc32(flac.read_samples(m, int(f["s"]), int(f["n"]))) if len(fs) > 1 else zlib.crc32(x) for m, f, fs, x in zip(media, middle, frames, back, strict=True)]
                 yield pa.record_batch(
                     [
                         ids[g], pa.array([len(x) for x in texts[g]], pa.int64()), pa.array([len(x) for x in back], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array([zlib.crc32(x[-PAD:]) for x in back], pa.int64()),
                         pa.array([len(x) for x in media], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in media]), pa.array([features(x) for x in back]),
+                        pa.array([len(f) for f in frames], pa.int64()), pa.array(sought, pa.int64()),
                     ],
-                    ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks", "seek_crc32"],
                 )
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, _DIGEST)

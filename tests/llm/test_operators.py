@@ -55,6 +55,79 @@ def test_damaged_flac_is_refused():
             flac.decode_many([bytes(broken)])
 
 
+def plain_frames(stored, payload):
+    """Header, checksums and places of every frame by the format's own rules, bit by bit where it matters."""
+
+    def crc(data, poly, bits):
+        c = 0
+        for byte in data:
+            c ^= byte << (bits - 8)
+            for _ in range(8):
+                c = (c << 1 ^ poly if c >> (bits - 1) & 1 else c << 1) & ((1 << bits) - 1)
+        return c
+
+    info = flac.Stream(stored)
+    for k, (s, o, n) in enumerate(info.points.tolist()):
+        a = info.frames_at + o
+        b = info.frames_at + info.points["o"].tolist()[k + 1] if k + 1 < len(info.points) else len(stored)
+        head = flac._parse_header(stored, a)
+        assert stored[a] == 0xFF and stored[a + 1] == 0xF8 and head[1:] == (k, n) and s + n <= len(payload)
+        assert crc(stored[a : a + head[0] - 1], 0x07, 8) == stored[a + head[0] - 1]
+        assert crc(stored[a : b - 2], 0x8005, 16) == stored[b - 2] << 8 | stored[b - 1]
+
+
+def without_table(stored):
+    info = flac.Stream(stored)
+    return stored[:4] + b"\x80" + stored[5:42] + stored[info.frames_at :]
+
+
+@pytest.mark.parametrize("n", [64, 9000, 60_032])
+def test_frames_by_the_format(n):
+    rng = np.random.default_rng(n)
+    data = bytes(rng.integers(60, 120, n, dtype=np.uint8))
+    stored = media.encode_all([data])[0]
+    plain_frames(stored, data)
+    bare = without_table(stored)
+    assert flac.Stream(bare).points is None and flac.decode_many([bare, stored]) == [data, data]
+    assert flac.read_samples(bare, n // 2, 50) == data[n // 2 : n // 2 + 50]
+
+
+def test_frames_out_of_place_are_refused():
+    data = bytes(np.random.default_rng(3).integers(0, 256, 40_000, dtype=np.uint8))
+    stored = media.encode_all([data])[0]
+    info = flac.Stream(stored)
+    at = (info.points["o"].astype(int) + info.frames_at).tolist()
+    size = at[1] - at[0]
+    assert at[2] - at[1] == size  # noise is stored as it is
+    swapped = stored[: at[0]] + stored[at[1] : at[2]] + stored[at[0] : at[1]] + stored[at[2] :]
+    with pytest.raises(flac.FlacError):
+        flac.read_samples(swapped, 0, 10)
+
+
+def test_seek_tables_that_are_full(monkeypatch):
+    monkeypatch.setattr(flac, "MAX_POINTS", 3)
+    data = bytes(np.random.default_rng(5).integers(40, 90, 70_000, dtype=np.uint8))
+    stored = media.encode_all([data])[0]
+    assert len(flac.Stream(stored).points) <= 3 and flac.decode_many([stored]) == [data] and flac.read_samples(stored, 65_000, 90) == data[65_000:65_090]
+
+
+def test_pcm_blocks_and_ranges(spark):
+    texts = {1: "short", 2: "wave of text " * 4000, 3: "", 4: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    stored = media.to_flac(docs)
+    back = defaultdict(bytes)
+    for r in media.pcm_blocks(stored).orderBy("id", "block").collect():
+        assert r.first_sample == len(back[r.id]) and r.n_samples == len(r.pcm)
+        back[r.id] += bytes(r.pcm)
+    want = {i: media.padded((t or "").encode()) for i, t in texts.items()}
+    assert back == want
+    assert {r.id: bytes(r.pcm) for r in media.read_range(stored, 9000, 77).collect()} == {i: p[9000:9077] for i, p in want.items()}
+    for r in media.store_and_read(docs).collect():
+        n = [b.n_samples for b in media.pcm_blocks(stored.where(F.col("id") == r.id)).orderBy("block").collect()]
+        k = len(n) // 2
+        assert r.blocks == len(n) and r.seek_crc32 == zlib.crc32(want[r.id][sum(n[:k]) : sum(n[: k + 1])])
+
+
 def test_media_query(spark, tables):
     found = defaultdict(set)
     for r in QUERIES["op1_flac_media"](spark, tables).collect():
@@ -594,6 +667,19 @@ def test_densified_signatures_estimate_similarity():
         assert abs((one == two).mean() - len(both) / (len(both) + len(a) + len(b))) < 0.25
 
 
+def test_pairs_at_the_threshold_share_a_bucket():
+    """Pairs of similarity 0.8 and just above, sets of few and of many shingles: no band may be needed twice."""
+    oph, rng = OnePermutation(near_dedup.BANDS, near_dedup.ROWS), np.random.default_rng(11)
+    for n in (5, 10, 40, 200, 1000):
+        missed = 0
+        for _ in range(300):
+            both, a, b = (rng.integers(0, 2**64, m, dtype=np.uint64) for m in (8 * n // 10, n // 10, n // 10 + n % 10 // 5))
+            one, two = (oph.band_keys(oph.signature(np.unique(np.concatenate([both, x])))) for x in (a, b))
+            assert len(both) * 100 >= 80 * (len(both) + len(a) + len(b)) - 100
+            missed += not np.intersect1d(one, two).size
+        assert missed == 0
+
+
 def test_overlaps_are_exact():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 300, rng.integers(0, 90))).astype(np.uint64) for _ in range(12)]
