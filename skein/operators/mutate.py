@@ -17,6 +17,7 @@ from ..functions.literals import check_vector, coerce
 from ..plans.ast import Json
 from ..plans.sdl import Field, TypeDef
 from ..sources.catalog import Catalog
+from ..sources.paths import scratch
 
 #: Of links without @on_delete: what happens to them when their target is deleted.
 DEFAULT_MANY, DEFAULT_ONE = "remove", "deny"
@@ -63,10 +64,19 @@ def stored(t: TypeDef, fields: dict) -> tuple[dict, dict, dict]:
     return scalars, keys, vectors
 
 
-def _check_targets(catalog: Catalog, t: TypeDef, keys: dict) -> None:
-    for name, target in keys.items():
-        if target is not None and catalog.frame(t.fields[name].target).where(F.col("id") == target).limit(1).count() == 0:
-            raise ObjectNotFound(f"{t.fields[name].target} {target}")
+def _check_targets(catalog: Catalog, t: TypeDef, every: list[dict]) -> None:
+    """All targets of a type in one join, whatever the number of rows."""
+    wanted: dict[str, set[int]] = {}
+    for keys in every:
+        for name, target in keys.items():
+            if target is not None:
+                wanted.setdefault(t.fields[name].target, set()).add(target)
+    for name, ids in wanted.items():
+        frame = catalog.frame(name)
+        asked = frame.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "id long")
+        missing = asked.join(frame.select("id"), "id", "left_anti").orderBy("id").limit(1).collect()
+        if missing:
+            raise ObjectNotFound(f"{name} {missing[0].id}")
 
 
 def unique_violations(frame: DataFrame, name: str, touched: DataFrame | None = None) -> DataFrame:
@@ -92,9 +102,9 @@ def create(catalog: Catalog, type_name: str, rows: list[dict], next_id: int, ori
     frame = catalog.frame(type_name)
     spark = frame.sparkSession
     made, vectors, names = [], {}, set()
-    for n, fields in enumerate(rows):
-        scalars, keys, vecs = stored(t, fields)
-        _check_targets(catalog, t, keys)
+    parsed = [stored(t, fields) for fields in rows]
+    _check_targets(catalog, t, [keys for _, keys, _ in parsed])
+    for n, (scalars, keys, vecs) in enumerate(parsed):
         made.append({"id": next_id + n} | scalars | keys)
         names |= set(scalars)
         for name, v in vecs.items():
@@ -120,7 +130,7 @@ def update(catalog: Catalog, type_name: str, ids: DataFrame, fields: dict, origi
     scalars, keys, vecs = stored(t, fields)
     if vecs:
         raise InvalidArgument("vectors are replaced by ingest")
-    _check_targets(catalog, t, keys)
+    _check_targets(catalog, t, [keys])
     frame = catalog.frame(type_name)
     flag = frame.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
     values = scalars | keys
@@ -173,8 +183,10 @@ def delete_set(catalog: Catalog, type_name: str, ids: DataFrame) -> dict[str, Da
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """Cut the plan of a round: by a checkpoint if the session has a folder for it, else as a cached frame."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None) else df.persist()
+    """Cut the plan of a round by a written copy."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete(catalog: Catalog, type_name: str, ids: DataFrame, origin: int | None = None) -> Mutation:

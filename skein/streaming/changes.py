@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Versions that the gap finder sorts at once.
+GAP_RANGE = 1_000_000
 EVENT = "kind string, type string, id long, origin long, fields string, version long"
 
 
@@ -34,8 +36,8 @@ class Subscription:
 
 
 def change_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Change rows of ``folder`` as they are committed."""
-    return spark.readStream.schema(EVENT).parquet(folder)
+    """Change rows of ``folder`` and the folders in it, as they are committed."""
+    return spark.readStream.schema(EVENT).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def select_changes(changes: DataFrame, wanted: Subscription) -> DataFrame:
@@ -64,9 +66,16 @@ def subscribe(changes: DataFrame, wanted: Subscription, deliver, checkpoint: str
 
 
 def gaps(events: DataFrame, last: int) -> DataFrame:
-    """``after, next``: places where versions are missing between events that a subscriber has seen."""
+    """``after, next``: places where versions are missing between events that a subscriber has seen.
+
+    Versions are cut into ranges of ``GAP_RANGE``; each is looked through by itself, and then what lies between
+    the last version of a range and the first of the next, one row for each range.
+    """
     from pyspark.sql import Window
 
-    seen = events.select("version").distinct()
-    before = seen.withColumn("after", F.lag("version", 1, last).over(Window.orderBy("version")))
-    return before.where(F.col("version") > F.col("after") + 1).select("after", F.col("version").alias("next"))
+    seen = events.select("version").where(F.col("version") > last).distinct().withColumn("part", F.floor(F.col("version") / GAP_RANGE))
+    inside = seen.withColumn("after", F.lag("version").over(Window.partitionBy("part").orderBy("version")))
+    ends = seen.groupBy("part").agg(F.min("version").alias("version"), F.max("version").alias("top"))
+    between = ends.withColumn("after", F.lag("top", 1, last).over(Window.orderBy("part")))
+    made = inside.where("after is not null").select("after", "version").unionByName(between.select("after", "version"))
+    return made.where(F.col("version") > F.col("after") + 1).select("after", F.col("version").alias("next"))
