@@ -160,14 +160,62 @@ ORACLE_SQL["matches_stats"] = f"WITH {_TOKENS.rstrip().rstrip(',')} SELECT n, to
 _text("matches_english", 'Document.matches(.text, "thtion \\"of the\\" onshon", k: 20)', None)
 
 
+# What a reader may not see does not count in the statistics either.
+QUERIES["matches_visible"] = lambda spark, folder: (
+    engine(spark, folder, rules='match Turn { allow read: if resource.role == "user"; }').query('Turn.matches(.text, "the of", k: 20)').select("id", F.round(F.col("score").cast("double"), 3).alias("score"))
+)
+ORACLE_SQL["matches_visible"] = ORACLE_SQL["matches_or"].replace("WHERE text IS NOT NULL", "WHERE text IS NOT NULL AND role = 'user'").replace("'the', 'thing', 'of'", "'the', 'of'")
+
+
+def similar_indexed(spark, folder):
+    """The nearest by the index; what its codes and lists leave out can differ from the exact search."""
+    e = engine(spark, folder)
+    e.index_vectors("Item", "vec")
+    return e.query(f"Item.similar(.vec, {_QS}, k: 10, ef: 200, rerank: 100)").select("id", "label", F.round(F.col("score").cast("double"), 3).alias("score"))
+
+
+QUERIES["similar_indexed"] = similar_indexed
+
+
+def export_import(spark, folder):
+    """Parts written as export lines and read again."""
+    from .sources.export import export, read_export
+
+    out = scratch(spark, "export")
+    export(star_catalog(spark, folder), out, ["Part"])
+    return read_export(spark, out).frame("Part").select("id", "name", "brand", "size", "retailprice")
+
+
+def rename_then_query(spark, folder):
+    c = migrate.rename_field(star_catalog(spark, folder), "Part", "brand", "make")
+    return Engine(spark, c).query('Part.filter(.make == "Brand#3")').select("id", "make")
+
+
+def link_changed(spark, folder):
+    """To-one links set and taken away again, as the other side sees them."""
+    e = engine(spark, folder)
+    e.query("Customer.filter(.acctbal < 0).link(Nation.get(5))")
+    e.query('Customer.filter(.mktsegment == "BUILDING").unlink(Nation.get(5))')
+    return e.query("Nation.get(5).customers").select("id")
+
+
+for _g in (export_import, rename_then_query, link_changed):
+    QUERIES[_g.__name__] = _g
+ORACLE_SQL |= {
+    "export_import": "SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_size AS size, p_retailprice AS retailprice FROM part",
+    "rename_then_query": "SELECT p_partkey AS id, p_brand AS make FROM part WHERE p_brand = 'Brand#3'",
+    "link_changed": "SELECT c_custkey AS id FROM customer WHERE (c_acctbal < 0 OR c_nationkey = 5) AND c_mktsegment <> 'BUILDING'",
+}
+
+
 def peers_left(spark, folder):
     c = star_catalog(spark, folder)
-    return links.link_peer_ids(c, "Part", "items", "supplier", c.frame("Part").where("id < 20")).select("src", "peer")
+    return links.link_peer_ids(c, "Part", "items", "supplier", c.frame("Part")).select("src", "peer")
 
 
 def peers_top(spark, folder):
     c = star_catalog(spark, folder)
-    return links.link_peers_top(c, "Part", "items", "supplier", c.frame("Part").where("id < 3"), "acctbal", True, 1, 12)
+    return links.link_peers_top(c, "Part", "items", "supplier", c.frame("Part"), "acctbal", True, 1, 12)
 
 
 def get_many(spark, folder):
@@ -274,8 +322,8 @@ for _n, _spec in {"converter_widen_int_to_f64": ("Part", "size", "widen_int_to_f
 
 _GONE = "o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < -500)"
 ORACLE_SQL |= {
-    "peers_left": "SELECT l_partkey AS src, l_suppkey AS peer FROM lineitem WHERE l_partkey < 20",
-    "peers_top": f"SELECT {_SUPPLIER} FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey < 3) ORDER BY s_acctbal DESC, s_suppkey DESC LIMIT 12 OFFSET 1",
+    "peers_left": "SELECT l_partkey AS src, l_suppkey AS peer FROM lineitem",
+    "peers_top": f"SELECT {_SUPPLIER} FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem) ORDER BY s_acctbal DESC, s_suppkey DESC LIMIT 12 OFFSET 1",
     "get_many": "SELECT p_partkey AS id, p_name AS name, p_size AS size FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)",
     "scan_chunk": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey > 100 ORDER BY 1 LIMIT 25",
     "update_batch": "SELECT o_orderkey AS id, 'X' AS status, 0.0::DOUBLE AS totalprice, o_orderdate AS orderdate, o_orderpriority AS priority FROM orders WHERE o_orderpriority = '1-URGENT'",

@@ -11,12 +11,13 @@ from .errors import InvalidArgument, PermissionDenied
 from .operators import mutate
 from .operators.fulltext import TextIndex, build_index
 from .operators.rules import NOBODY, Principal, Rules
-from .operators.vectors import ingest
+from .operators.vectors import VectorIndex, build_vector_index, ingest
 from .plans import ast as A
 from .plans.compiler import Context, Stage, compile_query, run_steps, source
 from .plans.governor import Governor
 from .plans.parser import parse_query
 from .sources.catalog import Catalog
+from .sources.paths import scratch
 from .sources.store import Store
 
 _WRITES = (A.Update, A.Delete, A.Link, A.Unlink)
@@ -111,11 +112,11 @@ class Engine:
             raise PermissionDenied(f"create {type_name}")
 
     def next_id(self) -> int:
-        """Ids are given once over all types."""
+        """Ids are given once over all types; a store keeps the next one, other catalogs are searched for the greatest."""
         if self._next_id is None:
-            tops = [df.agg(F.max("id")).first()[0] for df in self.catalog.objects.values()]
-            kept = self.store.manifest()["next_id"] if self.store is not None else 1
-            self._next_id = max([kept, 1, *(t + 1 for t in tops if t is not None)])
+            kept = self.store.manifest() if self.store is not None else {"version": 0, "next_id": 1}
+            tops = [df.agg(F.max("id")).first()[0] for df in self.catalog.objects.values()] if not kept["version"] else []
+            self._next_id = max([kept["next_id"], 1, *(t + 1 for t in tops if t is not None)])
         return self._next_id
 
     def _commit(self, m: mutate.Mutation) -> DataFrame | None:
@@ -123,9 +124,10 @@ class Engine:
             self._next_id = m.next_id
         ids = None
         if self.store is not None:
-            if m.result is not None:
-                ids = m.result.persist()
-                ids.count()
+            if m.result is not None:  # the frames it comes from are of the version before
+                path = scratch(self.spark, "result")
+                m.result.write.parquet(path)
+                ids = self.spark.read.schema(m.result.schema).parquet(path)
             catalog = self.store.commit(m.catalog, m.changed, self.next_id(), m.changes)
         else:
             catalog = replace(m.catalog, version=self.catalog.version + 1)
@@ -134,6 +136,7 @@ class Engine:
         self.ctx.catalog = catalog
         # Indexes of changed types are out of date.
         self.ctx.indexes = {k: v for k, v in self.ctx.indexes.items() if f"o:{k[0]}" not in m.changed}
+        self.ctx.vector_indexes = {(t, f): v for (t, f), v in self.ctx.vector_indexes.items() if not {f"o:{t}", f"v:{t}:{f}"} & m.changed}
         return ids if ids is not None else m.result
 
     # Other operations.
@@ -146,6 +149,16 @@ class Engine:
         self.ctx.indexes[type_name, field] = index.save(folder) if folder else index
         return self.ctx.indexes[type_name, field]
 
+    def index_vectors(self, type_name: str, field: str, folder: str | None = None) -> VectorIndex:
+        """Build the index of a vector field; unrestricted searches use it from now on, until the vectors change."""
+        f = self.catalog.schema.type(type_name).fields.get(field)
+        if f is None or f.kind != "vector":
+            raise InvalidArgument(f"{type_name} has no vector field {field}")
+        metric = f.index.metric if f.index else "cosine"
+        index = build_vector_index(self.catalog.vector_frame(type_name, field), f.dim, metric, folder or scratch(self.spark, "vectors"))
+        self.ctx.vector_indexes[type_name, field] = index
+        return index
+
     def ingest_vectors(self, type_name: str, field: str, rows: DataFrame) -> None:
         f = self.catalog.schema.type(type_name).fields.get(field)
         if f is None or f.kind != "vector":
@@ -195,10 +208,9 @@ class Engine:
     def change_log(self) -> DataFrame:
         """All committed change events."""
         if self.store is not None:
-            from .sources.store import CHANGES
             from .streaming.changes import EVENT
 
-            return self.spark.read.schema(EVENT).parquet(f"{self.store.root}/{CHANGES}")
+            return self.spark.read.schema(EVENT).option("recursiveFileLookup", "true").parquet(self.store.publish())
         out = self.spark.createDataFrame([], "kind string, type string, id long, origin long, fields string, version long")
         for c in self.changes:
             out = out.unionByName(c)
@@ -212,6 +224,7 @@ class Engine:
         return {
             "version": c.version, "digest": c.schema.digest(), "types": sorted(c.objects), "vectors": sorted(f"{t}.{f}" for t, f in c.vectors),
             "fulltext": {f"{t}.{f}": {"analyzer": i.analyzer, "version": i.version, "positions": i.positions} for (t, f), i in self.ctx.indexes.items()},
+            "vector_indexes": {f"{t}.{f}": {"lists": len(i.centres), "rows": int(i.sizes.sum()), "metric": i.metric} for (t, f), i in self.ctx.vector_indexes.items()},
             "prepared": len(self._prepared), "rules": self.ctx.rules is not None,
         }
 

@@ -97,14 +97,23 @@ class TextIndex:
     analyzer: str
     positions: bool
     version: str = ""
+    rows: DataFrame | None = None
 
     def save(self, folder: str) -> TextIndex:
-        """Write both frames, postings in ranges of their terms, and read them again."""
+        """Write the index, postings in ranges of their terms, and read it again; texts are cut into terms once."""
         spark = self.docs.sparkSession
-        self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
+        docs = self.docs.select("id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("tf"), "len", F.lit(None).cast("array<int>").alias("positions"))
+        rows = self.rows if self.rows is not None else docs.unionByName(self.postings)
+        rows.write.mode("overwrite").parquet(f"{folder}/cut")
         # The id takes part in the ranges, so a very frequent term is spread over several.
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
-        return TextIndex(spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/postings"), self.analyzer, self.positions, self.version)
+        cut = spark.read.parquet(f"{folder}/cut")
+        cut.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/index")
+        return TextIndex.of(spark.read.parquet(f"{folder}/index"), self.analyzer, self.positions, self.version)
+
+    @classmethod
+    def of(cls, rows: DataFrame, analyzer: str, positions: bool, version: str) -> TextIndex:
+        """``rows``: id, term, tf, len, positions; the row without a term stands for the document itself."""
+        return cls(rows.where("term is null").select("id", "len"), rows.where("term is not null"), analyzer, positions, version, rows)
 
     def stats(self) -> DataFrame:
         """``n, tokens``: documents (with no words, too) and kept tokens."""
@@ -130,7 +139,7 @@ def build_index(frame: DataFrame, column: str, analyzer: str = "simple", positio
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["id", "term", "tf", "len", "positions"])
 
     all_rows = values.mapInArrow(post, "id long, term string, tf int, len int, positions array<int>")
-    return TextIndex(all_rows.where("term is null").select("id", "len"), all_rows.where("term is not null"), analyzer, positions, VERSIONS[analyzer])
+    return TextIndex.of(all_rows, analyzer, positions, VERSIONS[analyzer])
 
 
 def _norm(tf: Column, length: Column, average: Column) -> Column:

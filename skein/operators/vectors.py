@@ -1,4 +1,8 @@
-"""Vector search: exact distances as column expressions, top k by (distance, id).
+"""Vector search: exact distances as column expressions, top k by (distance, id), and an index of inverted lists.
+
+The index cuts the vectors into lists around centres; a search reads the lists nearest to the query, ranks their
+rows by one-byte codes, and rescores the best of them exactly. ``ef`` sets how many rows are read, ``rerank``
+how many are rescored.
 
 All distances are lower for what is closer: squared Euclidean, one minus the cosine (1 where a norm is 0),
 and the negated dot product. Sums are in double; the score is a float.
@@ -8,10 +12,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXACT_BOUND = 10_000
+#: Rows that the centres of an index are fitted on, at most - every row is indexed -, their number, and rounds of fitting.
+SAMPLE_ROWS, MAX_LISTS, ROUNDS = 20_000, 4_096, 10
+#: Rows that a search reads for each of ``ef``.
+ROWS_PER_EF = 64
 
 
 def _array(values) -> Column:
@@ -38,7 +48,7 @@ def distance(vec: Column, query, metric: str) -> Column:
 
 @dataclass(frozen=True)
 class SearchPlan:
-    """What the arguments of a search ask for; the exact search answers all of them."""
+    """What the arguments of a search ask for; the exact search answers all of them, the index reads what they say."""
 
     k: int
     ef: int
@@ -67,6 +77,114 @@ def nearest(vectors: DataFrame, query, k: int, metric: str, candidates: DataFram
     return rows.select("id", score.cast("float").alias("score")).orderBy("score", "id").limit(k)
 
 
+def _matrix(column, metric: str) -> np.ndarray:
+    """The vectors of an Arrow column, row by row; for the cosine they are brought to length one."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+    if metric == "cosine":
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    return x
+
+
+def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres * centres).sum(1) / 2
+    return np.concatenate([(half - x[a : a + 4096] @ centres.T).argmin(1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+
+
+def fit_centres(x: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
+    """Lloyd's rounds from rows chosen at random; a centre that loses all rows stays where it was."""
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:lists]].copy()
+    for _ in range(ROUNDS):
+        own = _nearest_centre(x, centres)
+        order = np.argsort(own, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(own[order]) != 0]))
+        centres[own[order[at]]] = np.add.reduceat(x[order], at, axis=0) / np.diff(np.concatenate([at, [len(x)]]))[:, None]
+    return centres
+
+
+@dataclass
+class VectorIndex:
+    """``rows``: (list, id, vec, code, scale), sorted by list; the centres and the lists' sizes, both of bounded number."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    sizes: np.ndarray
+    metric: str
+
+    def lists_for(self, query, rows: int) -> list[int]:
+        """The lists nearest to the query that together hold ``rows`` rows."""
+        q = np.asarray(query, np.float32)
+        if self.metric == "cosine":
+            q = q / max(float(np.linalg.norm(q)), 1e-30)
+        gap = -(self.centres @ q) if self.metric == "dot" else (self.centres * self.centres).sum(1) / 2 - self.centres @ q
+        order = np.argsort(gap, kind="stable")
+        return order[: int(np.searchsorted(np.cumsum(self.sizes[order]), rows)) + 1].tolist()
+
+
+def open_vector_index(spark: SparkSession, folder: str, metric: str) -> VectorIndex:
+    found = sorted(spark.read.parquet(f"{folder}/centres").collect(), key=lambda r: r.list)
+    rows = spark.read.parquet(f"{folder}/rows")
+    sizes = np.zeros(len(found), np.int64)
+    for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most MAX_LISTS
+        sizes[r.list] = r.n
+    return VectorIndex(rows, np.array([r.centre for r in found], np.float32), sizes, metric)
+
+
+def build_vector_index(vectors: DataFrame, dim: int, metric: str, folder: str, lists: int | None = None) -> VectorIndex:
+    """Index all usable rows of ``vectors`` (id, vec) in ``folder``; the centres come from SAMPLE_ROWS rows by a hash of the id."""
+    spark = vectors.sparkSession
+    good = vectors.where(F.coalesce((F.size("vec") == dim) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)), F.lit(False))).select("id", F.col("vec").cast("array<float>").alias("vec"))
+    n = good.count()
+    lists = max(1, min(MAX_LISTS, round(n**0.5))) if lists is None else lists
+
+    def fit(batches):
+        x = [_matrix(b.column("vec"), metric) for b in batches if b.num_rows]
+        if x:
+            centres = fit_centres(np.concatenate(x), lists)
+            yield pa.record_batch([pa.array(range(len(centres)), pa.int32()), pa.array(list(centres), pa.list_(pa.float32()))], ["list", "centre"])
+
+    sample = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).repartition(1).sortWithinPartitions("id")
+    sample.mapInArrow(fit, "list int, centre array<float>").write.mode("overwrite").parquet(f"{folder}/centres")
+    found = sorted(spark.read.parquet(f"{folder}/centres").collect(), key=lambda r: r.list)
+    held = spark.sparkContext.broadcast(np.array([r.centre for r in found], np.float32).reshape(-1, dim))  # MAX_LISTS x dim
+
+    def assign(batches):
+        for b in batches:
+            x = _matrix(b.column("vec"), metric) if b.num_rows else np.zeros((0, dim), np.float32)
+            scale = np.maximum(np.abs(x).max(1, initial=0), 1e-30) / 127
+            code = np.rint(x / scale[:, None]).astype(np.int8)
+            columns = [pa.array(_nearest_centre(x, held.value), pa.int32()), b.column("id"), b.column("vec"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale, pa.float32())]
+            yield pa.record_batch(columns, ["list", "id", "vec", "code", "scale"])
+
+    rows = good.mapInArrow(assign, "list int, id long, vec array<float>, code binary, scale float")
+    # The id takes part in the ranges, so a long list is spread over several files.
+    rows.repartitionByRange("list", "id").sortWithinPartitions("list", "id").write.mode("overwrite").parquet(f"{folder}/rows")
+    return open_vector_index(spark, folder, metric)
+
+
+def search_index(index: VectorIndex, query, plan: SearchPlan) -> DataFrame:
+    """``id, score`` of about the k nearest: codes choose the pool, exact distances its order."""
+    if not len(index.centres):
+        return index.rows.select("id", F.lit(0.0).cast("float").alias("score")).limit(0)
+    pool = max(plan.pool, 2 * plan.k)
+    near = index.rows.where(F.col("list").isin(index.lists_for(query, max(plan.ef * ROWS_PER_EF, pool))))
+    q, metric = np.asarray(query, np.float32), index.metric
+    if metric == "cosine":
+        q = q / max(float(np.linalg.norm(q)), 1e-30)
+
+    def rank(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.frombuffer(b"".join(b.column("code").to_pylist()), np.int8).reshape(b.num_rows, -1) * b.column("scale").to_numpy()[:, None]
+            gap = -(x @ q) if metric != "l2" else ((x - q) ** 2).sum(1)
+            best = np.argsort(gap, kind="stable")[:pool]
+            yield pa.record_batch([b.column("id").take(pa.array(best)), pa.array(gap[best], pa.float32())], ["id", "gap"])
+
+    chosen = near.select("id", "code", "scale").mapInArrow(rank, "id long, gap float").orderBy("gap", "id").limit(pool).select("id")
+    score = distance(F.col("vec"), query, metric).cast("float").alias("score")
+    return near.select("id", "vec").join(F.broadcast(chosen), "id", "left_semi").select("id", score).orderBy("score", "id").limit(plan.k)
+
+
 def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of ``truth``'s ids that ``found`` has."""
     hit = truth.select("id").join(found.select("id").distinct().withColumn("hit", F.lit(1)), "id", "left")

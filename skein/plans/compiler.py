@@ -17,6 +17,7 @@ from ..operators import fulltext, vectors
 from ..operators.links import hop
 from ..operators.rules import NOBODY, Principal, Rules
 from ..sources.catalog import Catalog
+from ..sources.paths import scratch
 from . import ast as A
 from .governor import Governor
 from .predicates import PRESENT, to_column, validate
@@ -31,6 +32,7 @@ class Context:
     rules: Rules | None = None
     principal: Principal = NOBODY
     indexes: dict[tuple[str, str], fulltext.TextIndex] = field(default_factory=dict)
+    vector_indexes: dict[tuple[str, str], vectors.VectorIndex] = field(default_factory=dict)
     embedders: dict = field(default_factory=dict)  # model -> function of a list of texts
     rerankers: dict = field(default_factory=dict)  # model -> function of (query, list of texts)
     default_rerank: int | None = None
@@ -128,7 +130,9 @@ def _matches(stage: Stage, step: A.Matches, ctx: Context) -> Stage:
         raise InvalidArgument(f"{t.name}.{step.field} has no full-text index")
     index = ctx.indexes.get((t.name, step.field))
     if index is None:
-        index = fulltext.build_index(ctx.catalog.frame(t.name), step.field, f.fulltext.analyzer, f.fulltext.positions)
+        # Built once for this version of the catalog, and kept for the queries that follow.
+        made = fulltext.build_index(ctx.catalog.frame(t.name), step.field, f.fulltext.analyzer, f.fulltext.positions)
+        index = ctx.indexes[t.name, step.field] = made.save(scratch(made.docs.sparkSession, "fulltext"))
     ids = None if stage.whole else stage.df.select("id")
     readable = ctx.read(ctx.catalog.frame(t.name), t.name).select("id") if ctx.rules is not None else None
     hits = fulltext.search(index, step.text, ctx.governor.clamp(step.k), ids, readable)
@@ -158,7 +162,10 @@ def _similar(stage: Stage, step: A.Similar, ctx: Context) -> Stage:
         near = vectors.nearest(ctx.catalog.vector_frame(t.name, f.name), query, pool, metric, ids)
         hits = rerank(near, ctx.catalog.frame(t.name), f.vectorize[0], text, ctx.rerankers[model], k)
         return _ranked(stage, hits, [F.col("rerank_score").desc_nulls_last(), F.col("score"), F.col("id")], SCORES)
-    del plan  # the exact search is as good as any pool
+    index = ctx.vector_indexes.get((t.name, f.name))
+    if index is not None and ids is None:
+        return _ranked(stage, vectors.search_index(index, query, plan), [F.col("score"), F.col("id")], ("score",))
+    # Without an index, and for a restricted set, the search is exact: as good as any width and pool.
     hits = vectors.nearest(ctx.catalog.vector_frame(t.name, f.name), query, k, metric, ids)
     return _ranked(stage, hits, [F.col("score"), F.col("id")], ("score",))
 

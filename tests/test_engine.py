@@ -3,7 +3,9 @@
 import datetime as dt
 import math
 import random
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,3 +421,70 @@ def test_migrations(spark):
     assert log.apply(done, steps) is done and len(log.done) == 1
     with pytest.raises(MigrationError):
         log.apply(done, [("b", steps[0][1])])
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    """The loser's data and events are nowhere, also where both wrote at the same version."""
+    schema = Schema.parse("type A { v: i64 }")
+    frame = lambda v: spark.createDataFrame([(1, v)], "id long, v long")
+    event = lambda v: spark.createDataFrame([("create", "A", v, None, "{}")], "kind string, type string, id long, origin long, fields string")
+    root = str(tmp_path / "db")
+    first, second = Store(spark, root), Store(spark, root)
+    c = first.load()
+    mine, theirs = (replace(c, schema=schema, objects={"A": frame(v)}) for v in (10, 20))
+    create = first._create
+
+    def late(name, text):  # the other writer commits between this one's data and its manifest
+        second.commit(theirs, {"o:A"}, 2, event(20))
+        create(name, text)
+
+    first._create = late
+    with pytest.raises(ConflictError):
+        first.commit(mine, {"o:A"}, 2, event(10))
+    assert [tuple(r) for r in Store(spark, root).load().frame("A").collect()] == [(1, 20)]
+    assert [r.id for r in spark.read.option("recursiveFileLookup", "true").parquet(first.publish()).collect()] == [20]
+    assert not list((tmp_path / "db" / "pending").iterdir())
+
+
+def test_events_of_a_lost_writer_are_published(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    store.publish = lambda: None  # lost after the manifest
+    c = replace(store.load(), schema=Schema.parse("type A { v: i64 }"), objects={"A": spark.createDataFrame([(1, 5)], "id long, v long")})
+    store.commit(c, {"o:A"}, 2, spark.createDataFrame([("create", "A", 1, None, "{}")], "kind string, type string, id long, origin long, fields string"))
+    assert Engine.open(spark, str(tmp_path / "db")).change_log().count() == 1
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_vector_index_recall(spark, tmp_path, metric):
+    rng = np.random.default_rng(3)
+    middles = rng.standard_normal((40, 24)) * 3
+    x = middles[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 24))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(7000, None), (7001, [1.0])], "id long, vec array<float>")
+    index = vectors.build_vector_index(rows, 24, metric, str(tmp_path / "index"))
+    assert int(index.sizes.sum()) == 6000
+    hit = 0
+    for i in range(0, 6000, 600):
+        plan = vectors.resolve(10, ef=40, rerank=60)
+        assert sum(index.sizes[index.lists_for(x[i], plan.ef * vectors.ROWS_PER_EF)]) < 3500
+        found = {r.id for r in vectors.search_index(index, x[i].tolist(), plan).collect()}
+        gap = {"l2": ((x - x[i]) ** 2).sum(1), "dot": -(x @ x[i]), "cosine": -(x @ x[i]) / np.linalg.norm(x, axis=1)}[metric]
+        hit += len(found & set(np.argsort(gap)[:10].tolist()))
+    assert hit >= 95
+
+
+def test_gaps_over_ranges(spark, monkeypatch):
+    from skein.streaming import changes
+
+    monkeypatch.setattr(changes, "GAP_RANGE", 4)
+    seen = spark.createDataFrame([(v,) for v in (1, 2, 3, 4, 7, 8, 15, 16, 17, 30)], "version long")
+    assert sorted(map(tuple, gaps(seen, 0).collect())) == [(4, 7), (8, 15), (17, 30)]
+
+
+def test_text_index_is_kept_until_its_type_changes(spark):
+    schema = Schema.parse("type A { t: String @fulltext }")
+    e = Engine(spark, Catalog(schema, {"A": spark.createDataFrame([(1, "red fox"), (2, "blue fox")], "id long, t string")}))
+    assert [r.id for r in e.query('A.matches(.t, "red", k: 5)').collect()] == [1]
+    kept = e.ctx.indexes["A", "t"]
+    assert [r.id for r in e.query('A.matches(.t, "fox", k: 5)').collect()] == [1, 2] and e.ctx.indexes["A", "t"] is kept
+    e.query('A.get(2).update({t: "red hen"})')
+    assert sorted(r.id for r in e.query('A.matches(.t, "red", k: 5)').collect()) == [1, 2]
