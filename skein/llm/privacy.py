@@ -206,4 +206,4 @@ def op10_pii_disclosure(spark, sf_dir: str) -> DataFrame:
     # start:end:remove, or start:end:generalise:word
     actions = F.transform("terms", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"), F.when(replacement(x) == "", "remove").otherwise(F.concat(F.lit("generalise:"), replacement(x)))))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select(F.col("id").alias("doc_id"), *(count(k) for k in KINDS), F.sha2(F.array_join(named, ","), 256).alias("base_sha256"), F.array_join(F.concat(named, terms), ",").alias("spans"), F.array_join(actions, ",").alias("actions"))
+    return found.select(F.col("id").alias("doc_id"), *(count(k) for k in KINDS), F.sha2(F.array_join(named, ","), 256).alias("base_sha256"), F.array_join(F.concat(named, terms), ",").alias("spans"), F.array_join(actions, ",").alias("actions"), (F.size("spans") + F.size("terms")).cast("long").alias("n_spans"))
