@@ -270,6 +270,10 @@ def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays - the one with the least id - with the columns of ``docs``."""
+    """Pipeline stage: one document of each group stays - the one with the least id - with the columns of ``docs``.
+
+    Shingles have five words here, as stages take unless a contract says otherwise; op8's contract says four. Rows
+    with a null id or without words stay; an empty ``docs`` gives an empty result.
+    """
     dropped = near_duplicates(docs).where("not kept").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -45,3 +45,20 @@ def test_mixing_keeps_every_row_in_the_order_of_the_mix(spark):
     first = [r.source for r in found[:400]]
     assert 60 < first.count("book") < 140  # by the roots of the counts: a quarter, not the eleventh of the table
     assert {r.source for r in found[-1000:]} == {"web"}  # the others have run dry
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_takes_an_empty_table(spark, empty_tables, name):
+    docs = spark.read.parquet(f"{empty_tables}/documents.parquet")
+    found = dict(corpus_pipeline.STAGES)[name](spark, docs, empty_tables)
+    assert found.collect() == [] and (name == "packing" or found.columns == docs.columns)
+
+
+def test_rejected_documents_go(spark, tables):
+    """The quality stage keeps what the classifier predicts 1 for, row by row, null and repeated ids as well."""
+    from skein.llm.entry import QUERIES
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    kept = dict(corpus_pipeline.STAGES)["quality"](spark, docs, tables).collect()
+    want = sorted(str(r.doc_id) for r in QUERIES["op3_quality_classifier"](spark, tables).collect() if r.predicted == 1)
+    assert sorted(str(r.doc_id) for r in kept) == want
