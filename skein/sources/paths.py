@@ -13,7 +13,8 @@ from ..errors import InvalidArgument
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``; only a local session without that setting (tests) gets this machine's temp."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
         raise InvalidArgument("set spark.checkpoint.dir to a folder that driver and executors share")
     root = found.rstrip("/") if found else tempfile.mkdtemp(prefix="skein-")
     return f"{root}/skein-{tag}-{uuid.uuid4().hex}"
