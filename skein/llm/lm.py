@@ -57,8 +57,9 @@ _PARTS = "chunk int, part int, weight double, total binary"
 
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers of 0 and more as planes of bytes, compressed; planes of zeros at the end are left out."""
-    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T
-    used = 1 + max([0, *(k for k in range(8) if planes[k].any())])
+    used = max(1, -(-int(numbers.max()).bit_length() // 8)) if len(numbers) else 1
+    width = 1 << (used - 1).bit_length()
+    planes = np.ascontiguousarray(numbers, f"<u{width}").view(np.uint8).reshape(-1, width).T
     return used.to_bytes(1, "big") + zstd.compress(np.ascontiguousarray(planes[:used]).tobytes(), 1)
 
 
@@ -70,25 +71,30 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<i4" if width == 4 else "<i8").ravel()
 
 
+class Numbers(dict):
+    """Words by number, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _tokenise():
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.bool_()]
     names = ["block", "id", "held", "ids", "local", "word", "c", "cls", "common"]
 
     def tokenise(batches):
         part, number = TaskContext.get().partitionId(), 0
-        vocab: dict[bytes, int] = {END_WORD: 0}
+        vocab = Numbers({END_WORD: 0})
         rows: list[tuple] = []
         size = 0
 
         def flush():
             nonlocal number, size
             block = part << 24 | number
-            counts, every = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
-            for _, held, ids in rows:
-                n = np.bincount(unpacked(ids), minlength=len(vocab))
-                every += n
-                if not held:
-                    counts += n
+            ids = {held: [unpacked(r[2]) for r in rows if r[1] is held] for held in (False, True)}
+            counts, out = (np.bincount(np.concatenate(x), minlength=len(vocab)) if x else np.zeros(len(vocab), np.int64) for x in ids.values())
+            every = counts + out
             common = np.zeros(len(vocab), bool)
             common[np.argpartition(-every, BLOCK_COMMON)[:BLOCK_COMMON] if len(every) > BLOCK_COMMON else slice(None)] = True
             n = len(rows)
@@ -107,9 +113,8 @@ def _tokenise():
         for batch in batches:
             for i, text, held in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held").to_pylist(), strict=True):
                 words = text.lower().split()  # of bytes: A-Z alone are lowered, ASCII white space alone parts words
-                known = [vocab.setdefault(w, len(vocab)) for w in words]
-                known.append(0)
-                rows.append((i, held, packed(np.array(known, np.int32))))
+                words.append(END_WORD)
+                rows.append((i, held, packed(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))))
                 size += len(text)
                 if size >= BLOCK_BYTES:
                     yield from flush()
