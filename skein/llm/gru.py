@@ -8,7 +8,9 @@ that their spellings divide among them (see ``lm``): the probabilities of all wo
 
 from __future__ import annotations
 
+import ctypes
 import heapq
+import os
 
 import numpy as np
 
@@ -26,6 +28,20 @@ _SHAPES = {"emb": (HEAD + TAIL, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (H
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
+def one_thread() -> None:
+    """Matrix products of this process by one thread: tasks share the cores, and products this small only wait for others."""
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as maps:
+        libraries = {line.split()[-1] for line in maps if "openblas" in line}
+    for path in libraries:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in _SHAPES.items():

@@ -292,6 +292,7 @@ def _train(held_weights, rate: float, passes: int, most: int | None = None):
     """Train on the training documents of each block; ``most``: on the first of them, up to this many tokens and one document."""
 
     def train(batches):
+        gru.one_thread()
         for batch in batches:
             for row in batch.to_pylist():
                 held, lengths, ids, code = _documents(row)
@@ -323,6 +324,7 @@ def _average(parts: DataFrame, fallback: np.ndarray) -> np.ndarray:
 
 def _score(held_model):
     def score(batches):
+        gru.one_thread()
         model = held_model.value
         for batch in batches:
             for row in batch.to_pylist():
