@@ -19,6 +19,11 @@ The cost of a bin of c tokens is OVERHEAD + c + c * c / ATTENTION: work that gro
 that grows with their square. Without the last term (``attention=None``) and with capacities that double, two
 bins never cost less than one of twice the size, so all but the last bins would be opened at the largest.
 
+``pack_in_order`` keeps the order of a written table, such as that of a mix: a shard is not a hash's but a window of
+at most ``WINDOW_PIECES`` consecutive pieces, loose bins meet those of the windows beside theirs, and the bins are laid
+out by ``place``, the mean place of their pieces in the table. So the bins of the first windows hold what the table
+begins with, and only inside such a neighbourhood does best fit choose what goes together.
+
 Defined results: null and empty texts have the end token alone; a null id is a document like others;
 repeated rows are packed each; an empty table gives no bins.
 """
@@ -30,10 +35,11 @@ from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_rows
+from .common import shuffle_partitions, staged, text_rows
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
@@ -41,6 +47,10 @@ OVERHEAD = 16
 ATTENTION = 6 * 1024
 #: Pieces of a shard, which a task packs at once.
 SHARD_PIECES = 20_000
+#: The same where the table's order is kept.
+WINDOW_PIECES = 2_000
+#: First shards whose loose bins meet in one of the second round.
+REPACK_SHARDS = 8
 REPACK_BELOW = 0.97
 
 Bins = list[list[int]]
@@ -171,8 +181,8 @@ def pack(lengths: list[int], costs: dict[int, float]) -> list[tuple[int, list[in
     return [(c, [order[i] for i in b]) for c, b in best[1]]
 
 
-_OUT = "shard long, bin long, capacity long, used long, position long, id long, first_token long, n_tokens long"
-_NAMES = ["shard", "bin", "capacity", "used", "position", "id", "first_token", "n_tokens", "seq", "done"]
+_OUT = "shard long, bin long, capacity long, used long, position long, id long, first_token long, n_tokens long, place long, seq long, done boolean"
+_NAMES = ["shard", "bin", "capacity", "used", "position", "id", "first_token", "n_tokens", "place", "seq", "done"]
 
 
 def _pack(costs: dict[int, float], last: bool):
@@ -195,41 +205,94 @@ def _pack(costs: dict[int, float], last: bool):
         for b, (cap, members) in enumerate(bins):
             used = sum(n[i] for i in members)
             done = last or used >= REPACK_BELOW * cap
+            place = sum(seq[i] for i in members) // len(members)
             for pos, i in enumerate(members):
-                for c, v in zip(cols, (shard, b, cap, used, pos, ids[i], first[i], n[i], seq[i], done), strict=True):
+                for c, v in zip(cols, (shard, b, cap, used, pos, ids[i], first[i], n[i], place, seq[i], done), strict=True):
                     c.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 9 + [pa.bool_()], strict=True)], names=_NAMES)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 10 + [pa.bool_()], strict=True)], names=_NAMES)
 
     return run
 
 
-def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD, attention: int | None = ATTENTION) -> DataFrame:
-    """One row per piece: ``shard, bin, capacity, used, position, id, first_token, n_tokens``; (shard, bin) names a bin."""
-    if not capacities or min(capacities) < 1:
-        raise ValueError("capacities must be positive")
-    largest, costs = max(capacities), bin_costs(capacities, overhead, attention)
+def _lengths(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """``id, n`` and ``more``: a document's tokens with its end."""
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = text_rows(docs, id_col, text_col).select("id", (words + 1).cast("long").alias("n"), F.monotonically_increasing_id().alias("seq"))
-    rows = staged(rows, "pack-lengths")
+    return text_rows(docs, id_col, text_col, *more).withColumn("n", (words + 1).cast("long")).drop("text")
+
+
+def _pieces(rows: DataFrame, largest: int) -> DataFrame:
+    """``id, seq, first_token, n_tokens, piece`` from ``id, seq, n``."""
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / largest)))
-    pieces = rows.select("id", "seq", "n", cut.alias("piece")).select("id", "seq", (F.col("piece") * largest).alias("first_token"), F.least(F.lit(largest).cast("long"), F.col("n") - F.col("piece") * largest).alias("n_tokens"))
-    total = pieces.count()
-    shards = max(1, math.ceil(total / SHARD_PIECES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / 200)))
-    typed = f"{_OUT}, seq long, done boolean"
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("seq", "first_token"), F.lit(shards)).cast("long"))
-    one = staged(dealt.groupBy("shard").applyInArrow(_pack(costs, False), typed), "pack-1")
-    # Bins that the first round left loose meet in fewer and mixed shards; a bin's pieces stay together on the way.
-    fewer = max(1, math.ceil(shards / 8))
-    mixed = (F.lit(shards) + F.pmod(F.xxhash64("shard", "bin"), F.lit(fewer))).cast("long")
-    loose = one.where("not done").select("id", "seq", "first_token", "n_tokens", F.col("shard").alias("old_shard"), F.col("bin").alias("old_bin"), F.col("capacity").alias("old_capacity"), mixed.alias("shard"))
-    two = loose.groupBy("shard").applyInArrow(_pack(costs, True), typed)
+    pieces = rows.select("id", "seq", "n", cut.alias("piece"))
+    return pieces.select("id", "seq", (F.col("piece") * largest).alias("first_token"), F.least(F.lit(largest).cast("long"), F.col("n") - F.col("piece") * largest).alias("n_tokens"), "piece")
+
+
+def _costs(capacities: tuple[int, ...], overhead: int, attention: int | None) -> dict[int, float]:
+    if not capacities or min(capacities) < 1:
+        raise ValueError("capacities must be positive")
+    return bin_costs(capacities, overhead, attention)
+
+
+def _shards(spark, total: int, most: int) -> int:
+    return max(1, math.ceil(total / most), min(shuffle_partitions(spark), math.ceil(total / 200)))
+
+
+def _two_rounds(dealt: DataFrame, costs: dict[int, float], mixed) -> DataFrame:
+    """Pack the shards, then the loose bins in the shards that ``mixed`` names; a bin's pieces stay together on the way."""
+    one = staged(dealt.groupBy("shard").applyInArrow(_pack(costs, False), _OUT), "pack-1")
+    loose = one.where("not done").select("id", "seq", "first_token", "n_tokens", F.col("shard").alias("old_shard"), F.col("bin").alias("old_bin"), F.col("capacity").alias("old_capacity"), mixed.cast("long").alias("shard"))
+    two = loose.groupBy("shard").applyInArrow(_pack(costs, True), _OUT)
     return one.where("done").unionByName(two).drop("seq", "done")
 
 
+def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD, attention: int | None = ATTENTION) -> DataFrame:
+    """One row per piece: ``shard, bin, capacity, used, position, id, first_token, n_tokens``; (shard, bin) names a bin."""
+    costs = _costs(capacities, overhead, attention)
+    rows = staged(_lengths(docs, id_col, text_col).withColumn("seq", F.monotonically_increasing_id()), "pack-lengths")
+    pieces = _pieces(rows, max(capacities)).drop("piece")
+    shards = _shards(docs.sparkSession, pieces.count(), SHARD_PIECES)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("seq", "first_token"), F.lit(shards)).cast("long"))
+    # Bins that the first round left loose meet in fewer and mixed shards.
+    fewer = max(1, math.ceil(shards / REPACK_SHARDS))
+    return _two_rounds(dealt, costs, F.lit(shards) + F.pmod(F.xxhash64("shard", "bin"), F.lit(fewer))).drop("place")
+
+
+def pack_in_order(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str = "doc_id", text_col: str = "text", overhead: int = OVERHEAD, attention: int | None = ATTENTION) -> DataFrame:
+    """As ``pack_documents``, with ``place``, and laid out by it; ``docs``: a table as a job has written it, in the order of its files' numbers and rows."""
+    spark, costs, largest = docs.sparkSession, _costs(capacities, overhead, attention), max(capacities)
+    try:
+        rows = _in_files(docs, id_col, text_col)
+    except AnalysisException:  # not a table of files: written in its order
+        rows = _in_files(staged(docs, "pack-order"), id_col, text_col)
+    rows = staged(rows.withColumn("pieces", F.floor((F.col("n") - 1) / largest) + 1), "pack-lengths")
+    # Places in the table count pieces: those of the files before, then of the rows before in the file.
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1)
+    files = rows.groupBy("file").agg(F.sum("pieces").alias("sum"))
+    ordered = Window.orderBy(F.length(number), number, "file")  # one row for each file
+    files = files.select("file", "sum", F.row_number().over(ordered).alias("f"), (F.sum("sum").over(ordered) - F.col("sum")).alias("base"))
+    files = staged(files, "pack-files")
+    total = files.agg(F.coalesce(F.sum("sum"), F.lit(0))).first()[0]
+    shards = _shards(spark, total, WINDOW_PIECES)
+    window = max(1, math.ceil(total / shards))
+    before = F.sum("pieces").over(Window.partitionBy("f").orderBy("row")) - F.col("pieces")
+    rows = rows.join(F.broadcast(files.drop("sum")), "file").select("id", "n", "f", "row", "pieces", "base")
+    rows = rows.withColumn("seq", (F.col("base") + before).cast("long"))
+    dealt = _pieces(rows, largest).withColumn("shard", F.expr(f"(seq + piece) DIV {window}L")).drop("piece")
+    found = _two_rounds(dealt, costs, F.lit(shards) + F.expr(f"shard DIV {REPACK_SHARDS}L"))
+    order = ["place", "shard", "bin", "position"]
+    return found.repartitionByRange(shuffle_partitions(spark), *order[:3]).sortWithinPartitions(*order)
+
+
+def _in_files(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, n, file, row``: with each document the file that it is read from and its number in that."""
+    at = docs.metadataColumn("_metadata")
+    return _lengths(docs, id_col, text_col, at["file_path"].alias("file"), at["row_index"].alias("row"))
+
+
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the bins of ``docs``, one row per piece of a document."""
-    return pack_documents(docs).withColumnRenamed("id", "doc_id")
+    """Last pipeline stage: the bins of ``docs``, one row per piece of a document, in the order that the mix gave the documents."""
+    return pack_in_order(docs).withColumnRenamed("id", "doc_id")

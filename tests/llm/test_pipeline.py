@@ -1,5 +1,8 @@
 """The pipeline's stages: columns, decisions that take effect, edge rows, empty tables."""
 
+from collections import defaultdict
+
+import numpy as np
 import pytest
 from conftest import rows
 
@@ -47,6 +50,50 @@ def test_mixing_keeps_every_row_in_the_order_of_the_mix(spark):
     assert {r.source for r in found[-1000:]} == {"web"}  # the others have run dry
 
 
+def test_packing_follows_the_mix(spark):
+    """Bins in the order of the mix hold its shares from the first ones on, whatever files the table came in."""
+    rng = np.random.default_rng(5)
+    docs = [(i, "w " * int(n), "web" if i < 3000 else "book") for i, n in enumerate(rng.integers(1, 600, 3300))] + [(None, "long " * 9000, "book"), (8000, None, None)]
+    docs = staged(spark.createDataFrame(docs, "doc_id long, text string, source string"), "test-order")
+    stage = dict(corpus_pipeline.STAGES)
+    mixed = staged(stage["mixing"](spark, docs, ""), "test-mixed")
+    found = staged(stage["packing"](spark, mixed, ""), "test-packed").collect()
+    tokens = {r.doc_id: len((r.text or "").split()) + 1 for r in docs.collect()}
+    pieces = defaultdict(list)
+    for r in found:
+        pieces[r.doc_id].append((r.first_token, r.n_tokens))
+    assert {d: sum(n for _, n in p) for d, p in pieces.items()} == tokens and all(len({a for a, _ in p}) == len(p) for p in pieces.values())
+    assert len({(r.place, r.shard, r.bin) for r in found}) == len({(r.shard, r.bin) for r in found})
+    by_place = [r.doc_id for r in sorted(found, key=lambda r: (r.place, r.shard, r.bin)) if r.doc_id is not None and r.doc_id < 8000]
+    book = [3000 <= d for d in by_place]
+    assert 60 < sum(book[:400]) < 140 and 120 < sum(book[:800]) < 280  # a quarter, as in the mix; not the eleventh of the table
+    assert not any(book[-1000:])  # they have run dry
+
+
+def test_the_order_is_that_of_the_files(spark, monkeypatch):
+    """Files of very different sizes, which Spark reads largest first; windows are consecutive runs of pieces."""
+    from skein.llm import packing
+
+    monkeypatch.setattr(packing, "WINDOW_PIECES", 50)
+    sizes = [3, 400, 20, 1, 177]
+    rows = [(i, "w " * (i * 37 % 300), part) for i, part in enumerate(p for p, n in enumerate(sizes) for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int").repartitionByRange(5, "part").sortWithinPartitions("doc_id").drop("part")
+    for given in (staged(docs, "test-files"), docs):
+        one = packing.pack_in_order(given).collect()
+        assert sorted(r.id for r in one) == list(range(sum(sizes)))
+        windows = defaultdict(list)
+        shards = max(1, -(-len(rows) // 50), min(packing.shuffle_partitions(spark), -(-len(rows) // 200)))
+        for r in one:
+            windows[r.shard if r.shard < shards else None].append(r.id)
+        loose = windows.pop(None, [])
+        each = -(-len(rows) // shards)
+        assert windows and all(i // each == s for s, ids in windows.items() for i in ids) and len(loose) < len(rows)
+        for r in one:
+            if r.shard >= shards:  # loose bins meet those of eight windows
+                assert r.id // each // packing.REPACK_SHARDS == r.shard - shards
+        assert all(r.place // each == r.shard for r in one if r.shard < shards)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_each_stage_takes_an_empty_table(spark, empty_tables, name):
     docs = spark.read.parquet(f"{empty_tables}/documents.parquet")
