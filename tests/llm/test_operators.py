@@ -128,6 +128,27 @@ def test_pcm_blocks_and_ranges(spark):
         assert r.blocks == len(n) and r.seek_crc32 == zlib.crc32(want[r.id][sum(n[:k]) : sum(n[: k + 1])])
 
 
+def test_blocks_of_many_streams_are_sought_together(monkeypatch):
+    """A decoding step costs the same for one frame as for many, so the middle blocks of a batch are one decoding."""
+    rng = np.random.default_rng(8)
+    texts = [b"", b"short", *(bytes(rng.integers(60, 120, int(n), dtype=np.uint8)) for n in rng.integers(1, 9000, 30))]
+    payloads = [media.padded(t) for t in texts]
+    stored = media.encode_all(payloads)
+    firsts, counts = rng.integers(0, 9000, len(texts)).tolist(), rng.integers(0, 3000, len(texts)).tolist()
+    assert flac.read_many(stored, firsts, counts) == [p[a : a + n] for p, a, n in zip(payloads, firsts, counts, strict=True)]
+    bare = [without_table(x) for x in stored]
+    assert flac.read_many(bare, firsts, counts) == flac.read_many(stored, firsts, counts) and flac.read_many([], [], []) == []
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    calls, real = [], flac._decode_frames
+    monkeypatch.setattr(flac, "_decode_frames", lambda *a: calls.append(len(a[1])) or real(*a))
+    monkeypatch.setattr(media, "text_rows", lambda docs, *_: SimpleNamespace(mapInArrow=lambda run, _: [r for b in run(iter(docs)) for r in b.to_pylist()]))
+    found = media.store_and_read([batch])
+    assert [r["payload_sha256"] for r in found] == [hashlib.sha256(p).hexdigest() for p in payloads]
+    per = [-(-len(p) // flac.BLOCK) for p in payloads]
+    assert [r["seek_crc32"] for r in found] == [zlib.crc32(p[k // 2 * flac.BLOCK :][: flac.BLOCK]) for p, k in zip(payloads, per, strict=True)]
+    assert calls == [sum(per), len(texts)]
+
+
 def test_media_query(spark, tables):
     found = defaultdict(set)
     for r in QUERIES["op1_flac_media"](spark, tables).collect():
