@@ -130,45 +130,57 @@ def _recur(p, x: np.ndarray, first: np.ndarray, h: np.ndarray, tape: list | None
     return out, h
 
 
+def _softmax_gradient(p: np.ndarray, total: np.ndarray, at: tuple, n: int) -> None:
+    """In place, from exponentials and their sums: the gradient of the mean over ``n`` tokens by the logits."""
+    p *= (1 / (total * n)).astype(p.dtype)[:, None]
+    p[at] -= 1 / n
+
+
 def _output(p, hs: np.ndarray, y: np.ndarray, grads: dict | None = None):
-    """Natural log probabilities of class and head word for each row; with ``grads`` also the states' gradient."""
+    """Natural log probabilities of class and head word for each row; with ``grads`` also the states' gradient.
+
+    Head words are sorted by class, so a class is a slice and what goes by element runs over all classes at once.
+    """
     cls = np.where(y < HEAD, y // CLASS_WORDS, y - HEAD + HEAD_CLASSES)
-    logits = hs @ p["wc"] + p["bc"]
+    logits = hs @ p["wc"]
+    logits += p["bc"]
     np.clip(logits, -60, 60, out=logits)
     rows = np.arange(len(y))
     own = logits[rows, cls]
     np.exp(logits, out=logits)
-    total = logits.sum(1)
+    total = logits @ np.ones(CLASSES, logits.dtype)
     lp = own - np.log(total)
     dh = None
     if grads is not None:
-        logits /= total[:, None]
-        logits[rows, cls] -= 1
-        logits /= len(y)
+        _softmax_gradient(logits, total, (rows, cls), len(y))
         grads["wc"] += hs.T @ logits
-        grads["bc"] += logits.sum(0)
+        grads["bc"] += np.ones(len(y), logits.dtype) @ logits
         dh = logits @ p["wc"].T
-    order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
-    for k in range(HEAD_CLASSES):
-        seg = order[edge[k] : edge[k + 1]]
-        if not len(seg):
-            continue
-        g = hs[seg] @ p["ww"][k] + p["bw"][k]
-        np.clip(g, -60, 60, out=g)
-        word = y[seg] % CLASS_WORDS
-        at = np.arange(len(seg))
-        own = g[at, word]
-        np.exp(g, out=g)
-        total = g.sum(1)
-        lp[seg] += own - np.log(total)
-        if grads is not None:
-            g /= total[:, None]
-            g[at, word] -= 1
-            g /= len(y)
-            grads["ww"][k] += hs[seg].T @ g
-            grads["bw"][k] += g.sum(0)
-            dh[seg] += g @ p["ww"][k].T
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    edge = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1)).tolist()
+    order = order[: edge[-1]]
+    if not len(order):
+        return lp, dh
+    h = hs[order]
+    g = np.empty((len(order), CLASS_WORDS), logits.dtype)
+    spans = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if i < j]
+    for k, seg in spans:
+        np.matmul(h[seg], p["ww"][k], out=g[seg])
+        g[seg] += p["bw"][k]
+    np.clip(g, -60, 60, out=g)
+    at = rows[: len(order)], y[order] % CLASS_WORDS
+    own = g[at]
+    np.exp(g, out=g)
+    total = g @ np.ones(CLASS_WORDS, g.dtype)
+    lp[order] += own - np.log(total)
+    if grads is not None:
+        _softmax_gradient(g, total, at, len(y))
+        back, ones = np.empty_like(h), np.ones(len(order), g.dtype)
+        for k, seg in spans:
+            grads["ww"][k] += h[seg].T @ g[seg]
+            grads["bw"][k] += ones[seg] @ g[seg]
+            np.matmul(g[seg], p["ww"][k].T, out=back[seg])
+        dh[order] += back
     return lp, dh
 
 
@@ -181,23 +193,32 @@ def window_gradient(p, grads, x, y, first, valid, h):
     full = np.zeros((valid.size, HIDDEN), np.float32)
     full[where] = dh
     full = full.reshape(hs.shape)
+    # What does not depend on the steps after it is made for the whole window at once.
+    prev, z, r, n, a_n = (np.stack(column) for column in zip(*tape, strict=True))
+    keep = 1 - z
+    by_z = (prev - n) * z * keep
+    by_n = keep * (1 - n * n)
+    by_r = a_n * r * (1 - r)
     carry = np.zeros_like(h)
     d_pre = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+    da = np.empty((*x.shape, 3 * HIDDEN), h.dtype)
+    back, any_first = np.ascontiguousarray(p["u"].T), first.any(1)
     for t in range(len(x) - 1, -1, -1):
-        prev, z, r, n, a_n = tape[t]
         dh = full[t] + carry
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (prev - n) * z * (1 - z)
-        dr = dn * a_n * r * (1 - r)
-        d_pre[t, :, :HIDDEN], d_pre[t, :, HIDDEN : 2 * HIDDEN], d_pre[t, :, 2 * HIDDEN :] = dz, dr, dn
-        da = d_pre[t].copy()
-        da[:, 2 * HIDDEN :] *= r
-        grads["u"] += prev.T @ da
-        carry = dh * z + da @ p["u"].T
-        if first[t].any():
+        dn = dh * by_n[t]
+        np.multiply(dh, by_z[t], out=da[t, :, :HIDDEN])
+        np.multiply(dn, by_r[t], out=da[t, :, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn, r[t], out=da[t, :, 2 * HIDDEN :])
+        d_pre[t, :, 2 * HIDDEN :] = dn
+        carry = da[t] @ back
+        dh *= z[t]
+        carry += dh
+        if any_first[t]:
             carry *= ~first[t][:, None]
+    d_pre[:, :, : 2 * HIDDEN] = da[:, :, : 2 * HIDDEN]
+    grads["u"] += prev.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
     flat_x = x.ravel()
-    order = np.argsort(flat_x, kind="stable")
+    order = np.argsort(flat_x.astype(np.int16), kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(flat_x[order]) != 0]))
     grads["emb"][flat_x[order[edges]]] += np.add.reduceat(d_pre.reshape(-1, 3 * HIDDEN)[order], edges, axis=0)
     return -lp.mean(), h_next
@@ -208,7 +229,7 @@ class Adam:
         self.m, self.v, self.t = np.zeros(size, np.float32), np.zeros(size, np.float32), 0
 
     def step(self, flat: np.ndarray, g: np.ndarray, rate: float, clip: float = 1.0) -> None:
-        norm = float(np.sqrt((g * g).sum()))
+        norm = float(np.sqrt(g @ g))
         if not np.isfinite(norm):
             return
         if norm > clip:
