@@ -291,6 +291,14 @@ def test_full_text(spark):
         ids('"a b"', idx=_index(spark, ["a b"], positions=False))
 
 
+
+def test_prefix_of_many_terms(spark):
+    c = Catalog(Schema.parse("type A { t: String @fulltext }"), {"A": spark.createDataFrame([(i, f"pre{i} pre{i % 7}") for i in range(1, 201)], "id long, t string")})
+    assert len(Engine(spark, c).query('A.matches(.t, "pre*", k: 500)').collect()) == 200
+    with pytest.raises(TextQueryError):
+        Engine(spark, c, governor=Governor(max_expansion=64)).query('A.matches(.t, "pre*", k: 500)')
+
+
 def test_vectors(spark):
     schema = Schema.parse("type Doc { t: String  e: Vector<2> @index(hnsw, metric: l2) @vectorize(source: t, model: m) }")
     frame = spark.createDataFrame([(i, f"t{i}") for i in range(1, 6)], "id long, t string")
