@@ -368,6 +368,19 @@ def test_rules(spark, rule, who, want):
             Engine(spark, c, f"match Post {{ allow read: if true; allow update: if {rule}; }}").query("Post.update({rank: 1})", who)
 
 
+def test_rule_over_many_links(spark):
+    users = spark.createDataFrame([(i, f"u{i}", "r") for i in range(3000)], "id long, uid string, role string")
+    posts = spark.createDataFrame([(5000, "u7", True, 1, None, None, None), (5001, "u2500", True, 2, None, None, None), (5002, "u9", True, 3, None, None, None), (5003, None, True, 4, None, None, None)], "id long, title string, published boolean, rank long, ownerUid string, tags string, author long")
+    edges = spark.range(2000).selectExpr("5000L as src", "id as dst").unionAll(spark.range(1000, 3000).selectExpr("5001L as src", "id as dst")).unionAll(spark.sql("select 5003L as src, 2500L as dst"))
+    c = Catalog(RULED, {"User": users, "Post": posts}, {("Post", "editors"): edges})
+    read = lambda rule, who: {r.id for r in Engine(spark, c, f"match Post {{ allow read: if {rule}; }}").query("Post", who).collect()}
+    mine = "request.auth.uid in resource.editors.uid"
+    assert read(mine, Principal("u1999")) == {5000, 5001} and read(mine, Principal("u3")) == {5000} and read(mine, Principal()) == set()
+    assert read(f"!({mine})", Principal("u3")) == {5001, 5002, 5003} and read(f"!({mine})", Principal()) == set()
+    assert read("resource.title in resource.editors.uid", Principal()) == {5000, 5001} and read("!(resource.title in resource.editors.uid)", Principal()) == {5002}
+    assert read(f"{mine} && request.auth.claims.other in resource.editors.uid", Principal("u3", {"other": "u1999"})) == {5000}
+
+
 def test_rule_refusals_and_create_gate(spark):
     for bad in ("match X { }", "match Post { allow fly: if true; }", "match Post { allow read: if resource.nope; }", "match Post { allow read: if resource.author; }", "match Post { allow read: if request.auth == 1; }", "match Post { allow read: if resource.editors.uid == 1; }", "match Post { allow read: if request.auth.name == 1; }", "match Post { allow read: if true }", "match Post {"):
         with pytest.raises(SchemaError):
