@@ -299,6 +299,15 @@ def test_prefix_of_many_terms(spark):
         Engine(spark, c, governor=Governor(max_expansion=64)).query('A.matches(.t, "pre*", k: 500)')
 
 
+
+def test_scores_that_round_to_the_same_go_by_id(spark):
+    idx = _index(spark, [f"word {'x ' * (900 - i // 10)}" for i in range(100)])
+    exact, rounded = ([(r.id, round(r.score, 4)) for r in fulltext.search(idx, "word", 20, digits=d).collect()] for d in (None, 4))
+    scores = [(r.id, r.score) for r in fulltext.search(idx, "word", 100).collect()]
+    assert rounded == sorted(((i, round(s, 4)) for i, s in scores), key=lambda r: (-r[1], r[0]))[:20]
+    assert exact != rounded and [i for i, _ in exact] == [i for i, _ in scores[:20]]
+
+
 def test_vectors(spark):
     schema = Schema.parse("type Doc { t: String  e: Vector<2> @index(hnsw, metric: l2) @vectorize(source: t, model: m) }")
     frame = spark.createDataFrame([(i, f"t{i}") for i in range(1, 6)], "id long, t string")

@@ -32,6 +32,17 @@ def test_query_against_sql(spark, name):
     assert mine == theirs
 
 
+@pytest.mark.parametrize("name", ["matches_or", "matches_required", "matches_phrase", "matches_prefix", "matches_filtered", "matches_visible"])
+def test_matches_with_close_scores(spark, tmp_path, name):
+    # Scores that differ by less than what the SQL rounds to, the smallest ids with the lowest; 80 words begin with the prefix.
+    rows = [(i, 1, "user", f"of the thing and for in thinge{i % 80} " + "x " * (900 - i // 3)) for i in range(400)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    mine = sorted(tuple(r) for r in C.QUERIES[name](spark, str(tmp_path)).collect())
+    assert mine == sorted(con.sql(f"SELECT id, score FROM ({C.ORACLE_SQL[name]})").fetchall())
+
+
 def test_every_sql_has_its_query():
     assert set(C.ORACLE_SQL) <= set(C.QUERIES)
 
