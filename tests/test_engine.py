@@ -6,6 +6,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,20 @@ def test_scores_that_round_to_the_same_go_by_id(spark):
     assert exact != rounded and [i for i, _ in exact] == [i for i, _ in scores[:20]]
 
 
+
+@pytest.mark.parametrize("analyzer", ["simple", "english"])
+def test_index_comes_in_small_batches(spark, analyzer, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(400))) for _ in range(1500)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "value"])
+    made = list(fulltext.index_rows([batch, batch.slice(0, 0)], analyzer, True))
+    words = [sum(b.column("tf").fill_null(0).to_pylist()) for b in made]
+    assert len(made) > 4 and max(words) <= fulltext.SLICE_PLACES + 400 and sum(words) == sum(len(t.split()) for t in texts)
+    monkeypatch.setattr(fulltext, "SLICE_PLACES", 1 << 40)
+    whole = list(fulltext.index_rows([batch], analyzer, True))
+    assert len(whole) == 1 and pa.Table.from_batches(made).combine_chunks().equals(pa.Table.from_batches(whole).combine_chunks())
+
+
 def test_vectors(spark):
     schema = Schema.parse("type Doc { t: String  e: Vector<2> @index(hnsw, metric: l2) @vectorize(source: t, model: m) }")
     frame = spark.createDataFrame([(i, f"t{i}") for i in range(1, 6)], "id long, t string")
